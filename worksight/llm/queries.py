@@ -1,14 +1,23 @@
 """Queries that apply each operator of this subpackage to its whole table, and SQL for their results."""
 
+from worksight.llm.decontamination import OP9_SQL, op9_decontamination
 from worksight.llm.line_dedup import OP2_SQL, op2_line_dedup
+from worksight.llm.quality_rules import OP4_SQL, op4_quality_rules
+from worksight.llm.secret_scan import OP3_SQL, op3_secret_scan
 from worksight.llm.substring_dedup import op5_substring_dedup
 from worksight.llm.suffix_dedup import op7_suffix_dedup
 
 QUERIES = {
     "op2_line_dedup": op2_line_dedup,
+    "op3_secret_scan": op3_secret_scan,
+    "op4_quality_rules": op4_quality_rules,
     "op5_substring_dedup": op5_substring_dedup,
     "op7_suffix_dedup": op7_suffix_dedup,
+    "op9_decontamination": op9_decontamination,
 }
 ORACLE_SQL = {
     "op2_line_dedup": OP2_SQL,
+    "op3_secret_scan": OP3_SQL,
+    "op4_quality_rules": OP4_SQL,
+    "op9_decontamination": OP9_SQL,
 }
