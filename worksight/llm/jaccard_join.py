@@ -6,9 +6,9 @@ and differ within a class. Two sets that reach the threshold share a token among
 every order. A document whose prefix is all its own is done; pairs must share prefix tokens in all orders before they are verified
 on the whole sets.
 
-Equal sets are one node. Linking keeps all connections without all pairs of a group: first every node is verified against the least
-node it shares most prefix tokens with, and again against the greatest of another component; lists whose nodes are then one
-component are closed, and only pairs across components that remain in one list are enumerated. Documents without words are linked
+Equal sets are one node. Linking keeps all connections without all pairs of a group: in a few rounds every node is verified against
+the most central node of its lists that is not of its own component; lists whose nodes are then one component are closed, and only
+pairs across components that remain in one list are enumerated. Documents without words are linked
 with nothing. Null texts have none. Rows that share an id are told apart by their sets. Case: A-Z are lower-cased.
 """
 
@@ -27,6 +27,8 @@ from worksight.llm import blocks as B
 from worksight.llm.hashing import Docs, Rolling, U, Words, mix, runs
 
 ORDERS = 3
+#: Rounds in which every node is verified against one central node before pairs are enumerated.
+STARS = 3
 _SCHEMA = "node long, n_shingles long, tokens binary, p1 array<long>, p2 array<long>, p3 array<long>"
 
 
@@ -154,6 +156,11 @@ def _labelled(edges: DataFrame | None, nodes: DataFrame) -> DataFrame:
     return nodes.join(components(edges), "node", "left").withColumn("comp", F.coalesce("label", "node")).drop("label")
 
 
+def _open(lists: DataFrame) -> DataFrame:
+    """Tokens whose nodes are in several components."""
+    return lists.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("token")
+
+
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text", n_bytes: int | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id (least id reachable by links) and n_links (distinct other sets that this one was found linked with)."""
     spark = docs.sparkSession
@@ -165,28 +172,31 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_column
     # one row of each set
     sets = alive.join(nodes.select("node", "least_id"), "node").filter("doc_id <=> least_id").drop("least_id")
     lists = B.materialise(sets.select("node", F.explode("p1").alias("token")).distinct(), "lists")
-    shared = lists.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1").select("token")
+    shared = lists.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1")
+    # a node is central if many share its tokens: the text that others were edited from
     lists = B.materialise(lists.join(shared, "token"), "lists")
-    edges, tested = None, None
-    for which in ("least", "greatest"):
+    central = lists.groupBy("node").agg(F.sum("n").alias("score"))
+    lists = B.materialise(lists.select("token", "node").join(central, "node"), "lists")
+    edges = tested = led = None
+    for _ in range(STARS):
         at = _labelled(edges, lists)
         if edges is not None:
             at = B.materialise(at, "lists")
-            open_lists = at.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("token")
-            at = at.join(open_lists, "token")
-        pick = F.min(F.struct("comp", "node")) if which == "least" else F.max(F.struct("comp", "node"))
-        leads = at.groupBy("token").agg(pick.alias("lead")).select("token", F.col("lead.node").alias("lead"), F.col("lead.comp").alias("lead_comp"))
-        asked = at.join(leads, "token").filter("comp <> lead_comp").groupBy("node", "lead").agg(F.count("*").alias("n"))
-        best = asked.groupBy("node").agg(F.max_by("lead", F.struct("n", "lead")).alias("lead"))
+            at = at.join(_open(at), "token")
+        free = at if led is None else at.join(led, ["token", "node"], "left_anti")
+        leads = B.materialise(free.groupBy("token").agg(F.max(F.struct("score", "node", "comp")).alias("lead")).select("token", F.col("lead.node").alias("lead"), F.col("lead.comp").alias("lead_comp"), F.col("lead.score").alias("lead_score")), "leads")
+        asked = at.join(leads, "token").filter("comp <> lead_comp").groupBy("node", "lead", "lead_score").agg(F.count("*").alias("n"))
+        best = asked.groupBy("node").agg(F.max_by("lead", F.struct("lead_score", "n", "lead")).alias("lead"))
         pairs = best.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
         pairs = B.materialise(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         found = B.materialise(_verified(pairs, sets, percent), "edges")
         edges = found if edges is None else edges.union(found)
         tested = pairs if tested is None else tested.union(pairs)
+        leads = leads.select("token", F.col("lead").alias("node"))
+        led = leads if led is None else led.union(leads)
         _release(spark)
     at = B.materialise(_labelled(edges, lists), "lists")
-    open_lists = at.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("token")
-    at = at.join(open_lists, "token")
+    at = at.join(_open(at), "token").select("token", "node", "comp")
     sizes = sets.select("node", F.col("n_shingles").alias("n"))
     at = B.materialise(at.join(sizes, "node"), "lists")
     other = at.select("token", *(F.col(c).alias(f"o_{c}") for c in ("node", "comp", "n")))
