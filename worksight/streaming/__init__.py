@@ -1,0 +1,47 @@
+"""Event-time operators of the payment feed with Structured Streaming."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def payment_stream(spark: SparkSession, folder: str, schema, files_per_trigger: int = 1) -> DataFrame:
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
+
+
+def tumbling(events: DataFrame, time: str, late: str, width: str, *keys: str) -> DataFrame:
+    """Counts in tumbling windows; events later than `late` behind the newest are dropped with the state of their window."""
+    timed = events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late)
+    return timed.groupBy(F.window(time, width), *keys).agg(F.count("*").alias("n"))
+
+
+def first_of_key(events: DataFrame, time: str, late: str, *keys: str) -> DataFrame:
+    return events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).dropDuplicatesWithinWatermark(list(keys))
+
+
+def admit(events: DataFrame, client: str, time: str, cap: int, seconds: float) -> DataFrame:
+    """Sliding-window limiter: an event is admitted if fewer than cap admitted ones lie within the window before it.
+
+    Rejected events are not counted, so admission depends on earlier admissions of the same client. State is at most cap times.
+    """
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in events.schema.fields) + ", admitted boolean"
+
+    def f(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        recent = list(state.get[0]) if state.exists else []
+        for b in batches:
+            b = b.sort_values(time, kind="stable")
+            out = []
+            for t in b[time].astype("int64") / 1e9 if b[time].dtype.kind != "M" else b[time].astype("datetime64[ns]").astype("int64") / 1e9:
+                recent = [x for x in recent if x > t - seconds]
+                out.append(len(recent) < cap)
+                if out[-1]:
+                    recent.append(t)
+            b["admitted"] = out
+            yield b
+        state.update((recent,))
+
+    return events.groupBy(client).applyInPandasWithState(f, schema, "recent array<double>", "append", "NoTimeout")
