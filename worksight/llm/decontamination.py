@@ -64,13 +64,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = N, share: int
     remove: "documents" leaves out contaminated documents and the added columns; "spans" takes the hit words out of text.
     """
     found = hits(docs, benchmark, n, id_column, text_column, item_column)
-    size = F.size(_words(text_column)).cast("long")
-    out = docs.withColumns({"__version": F.xxhash64(text_column), "n_words": size})
-    out = out.join(found, out[id_column].eqNullSafe(found["doc"]) & (out["__version"] == found["version"]), "left").drop("doc", "version", "__version")
-    out = out.withColumns({"n_hit": F.coalesce("n_hit", F.lit(0).cast("long")), "items": F.coalesce("items", F.array().cast("array<string>"))})
-    out = out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.lit(share) * F.col("n_hit") >= F.col("n_words")))
+    found = found.select("doc", "version", *(F.col(c).alias(f"__{c}") for c in ("n_hit", "items", "spans")))
+    out = docs.withColumns({"__version": F.xxhash64(text_column), "__n_words": F.size(_words(text_column)).cast("long")})
+    out = out.join(found, out[id_column].eqNullSafe(found["doc"]) & (out["__version"] == found["version"]), "left").drop(found["doc"], found["version"]).drop("__version")
+    n_hit = F.coalesce("__n_hit", F.lit(0).cast("long"))
+    contaminated = (n_hit > 0) & (F.lit(share) * n_hit >= F.col("__n_words"))
     if remove == "documents":
-        return out.filter(~F.col("contaminated")).select(*docs.columns)
+        return out.filter(~contaminated).select(*docs.columns)
+    out = out.withColumns({"n_words": F.col("__n_words"), "n_hit": n_hit, "items": F.coalesce("__items", F.array().cast("array<string>")), "spans": F.col("__spans"), "contaminated": contaminated}).drop("__n_words", "__n_hit", "__items", "__spans")
     if remove == "spans":
         words = F.expr(r"regexp_extract_all(__text, r'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+', 0)")
         gaps = F.expr(r"split(__text, r'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+', -1)")

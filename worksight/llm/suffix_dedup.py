@@ -249,7 +249,7 @@ def suffix_dedup(docs: DataFrame, length: int = 100, id_column: str = "doc_id",
     answers = sent.groupBy(B.PART).applyInArrow(settle, B.ANSWERED)
     added = ["n_bytes", "n_removed", "n_spans", "kept"]
     names = [f.name for f in docs.schema.fields if f.name not in added] + added
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in names), "n_bytes long, n_removed long, n_spans long, kept binary"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name not in added), "n_bytes long, n_removed long, n_spans long, kept binary"])
 
     def make(table: pa.Table, got: list[dict]) -> pa.Table:
         x = read(table)
