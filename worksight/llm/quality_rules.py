@@ -65,7 +65,10 @@ def quality_rules(docs: DataFrame, text_column: str = "text") -> DataFrame:
         "__failed": F.expr("transform(filter(__judged, x -> x.fails), x -> x.l)"),
     })
     clean = F.expr("CASE WHEN size(__failed) = 0 THEN __text ELSE array_join(array_except_all, '\n') END".replace("array_except_all", f"filter(__lines, l -> NOT (l rlike r'[^\\x20\\x09-\\x0D]' AND {_line_fails('l', _word_count('l'))}))"))
-    out = out.withColumns({"kept": F.expr(f"NOT base_failed AND 100 * __lost <= {MAX_LOST} * __all"), "clean_text": F.when(F.col(text_column).isNotNull(), clean)})
+    # The optimizer moves a filter below deterministic columns and repeats what it tests inside every lambda; the partition's number,
+    # which changes nothing here, keeps filters on the verdict above.
+    verdict = F.expr(f"NOT base_failed AND 100 * __lost <= {MAX_LOST} * __all") & (F.spark_partition_id() >= 0)
+    out = out.withColumns({"kept": verdict, "clean_text": F.when(F.col(text_column).isNotNull(), clean)})
     return out.drop(t, "__lines", "__full", "__judged", "__sorted", "__places", "__all", "__lost", "__failed")
 
 
