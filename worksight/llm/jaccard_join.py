@@ -8,8 +8,8 @@ on the whole sets.
 
 Equal sets are one node. Linking keeps all connections without all pairs of a group: in a few rounds every node is verified against
 the most central node of its lists that is not of its own component; lists whose nodes are then one component are closed, and only
-pairs across components that remain in one list are enumerated. Documents without words are linked
-with nothing. Null texts have none. Rows that share an id are told apart by their sets. Case: A-Z are lower-cased.
+pairs across components that remain in one list, and whose places in it leave enough tokens to reach the threshold, are enumerated.
+Documents without words are linked with nothing. Null texts have none. Rows that share an id are told apart by their sets. Case: A-Z are lower-cased.
 """
 
 from __future__ import annotations
@@ -171,12 +171,15 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_column
     nodes = alive.groupBy("node").agg(F.min("doc_id").alias("least_id"))
     # one row of each set
     sets = alive.join(nodes.select("node", "least_id"), "node").filter("doc_id <=> least_id").drop("least_id")
-    lists = B.materialise(sets.select("node", F.explode("p1").alias("token")).distinct(), "lists")
+    # rest: tokens of the set from this one on in the first order; those of the set alone stand before the prefix's
+    last = F.ceil(F.col("n_shingles") * percent / F.lit(100)) - 1 + F.size("p1")
+    lists = sets.select("node", last.alias("last"), F.posexplode("p1").alias("at", "token")).select("node", "token", (F.col("last") - F.col("at")).alias("rest"))
+    lists = B.materialise(lists.distinct(), "lists")
     shared = lists.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1")
     # a node is central if many share its tokens: the text that others were edited from
     lists = B.materialise(lists.join(shared, "token"), "lists")
     central = lists.groupBy("node").agg(F.sum("n").alias("score"))
-    lists = B.materialise(lists.select("token", "node").join(central, "node"), "lists")
+    lists = B.materialise(lists.select("token", "node", "rest").join(central, "node"), "lists")
     edges = tested = led = None
     for _ in range(STARS):
         at = _labelled(edges, lists)
@@ -196,12 +199,14 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_column
         led = leads if led is None else led.union(leads)
         _release(spark)
     at = B.materialise(_labelled(edges, lists), "lists")
-    at = at.join(_open(at), "token").select("token", "node", "comp")
+    at = at.join(_open(at), "token").select("token", "node", "comp", "rest")
     sizes = sets.select("node", F.col("n_shingles").alias("n"))
     at = B.materialise(at.join(sizes, "node"), "lists")
-    other = at.select("token", *(F.col(c).alias(f"o_{c}") for c in ("node", "comp", "n")))
+    other = at.select("token", *(F.col(c).alias(f"o_{c}") for c in ("node", "comp", "n", "rest")))
+    # at the first token that two sets share, what both have left bounds what they share
+    enough = (100 + percent) * F.least("rest", "o_rest") >= percent * (F.col("n") + F.col("o_n"))
     near = (F.col("node") < F.col("o_node")) & (F.col("comp") != F.col("o_comp")) & (100 * F.least("n", "o_n") >= percent * F.greatest("n", "o_n"))
-    pairs = at.join(other, "token").filter(near).select(F.col("node").alias("a"), F.col("o_node").alias("b")).distinct()
+    pairs = at.join(other, "token").filter(near & enough).select(F.col("node").alias("a"), F.col("o_node").alias("b")).distinct()
     pairs = B.materialise(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
     edges = edges.union(B.materialise(_verified(pairs, sets, percent), "edges"))
     _release(spark)
