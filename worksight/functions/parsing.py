@@ -39,6 +39,19 @@ def norm_job(c: Column) -> Column:
     return F.when(job.rlike(r"^(R-)?\d{3}-\d{2}-\d{6}$"), job)
 
 
+def contractor(c: Column) -> Column:
+    """Name without the leading five- or six-digit code and the telephone number at its end; na, nil and dashes are NULL."""
+    name = F.regexp_replace(clean(c), r"\s*(\+?91)?[6-9]\d{9}\s*$|\s*0{10}\s*$", "")
+    name = F.trim(F.regexp_replace(name, r"^\s*\d{5,6}\s+", ""), F.lit(" ,.-"))
+    return F.when(~F.lower(name).isin("", "na", "nil"), name)
+
+
+def contractor_code(c: Column) -> Column:
+    """Leading five- or six-digit code that isn't all zeros, or NULL."""
+    code = F.regexp_extract(clean(c), r"^(\d{5,6})\s+", 1)
+    return F.when(code.rlike("[1-9]"), code)
+
+
 def strip_zeros(c: Column) -> Column:
     return F.ltrim(c, F.lit("0"))
 
