@@ -30,6 +30,17 @@ def _line_fails(line: str, words: str) -> str:
       OR ({words} >= 40 AND NOT regexp_like({line}, '[.,!?:;…]')))"""
 
 
+def _fails_cheap_first(line: str, words: str) -> str:
+    """The same verdict; words, which costs a split, is reached only by lines that the cheaper tests leave open."""
+    n_of = lambda chars: f"(length({line}) - length(translate({line}, '{chars}', '')))"
+    return f"""(
+      ({n_of(SEPARATORS)} >= 3 AND 5 * {n_of(SEPARATORS)} >= {words})
+      OR ({n_of(SYMBOLS)} >= 3 AND 3 * {n_of(SYMBOLS)} >= {words})
+      OR ({n_of('!')} >= 3 AND {words} >= 3 AND {n_of('!')} >= {words})
+      OR regexp_like({line}, '{BOILERPLATE}')
+      OR (length({line}) >= 79 AND NOT regexp_like({line}, '[.,!?:;…]') AND {words} >= 40))"""
+
+
 def _word_count(text: str) -> str:
     """Words of a line: gaps that follow a word, and one for a word at the end."""
     return f"size(filter(split({text}, r'{GAP}', -1), w -> w <> ''))"
@@ -50,7 +61,7 @@ def quality_rules(docs: DataFrame, text_column: str = "text") -> DataFrame:
     out = out.withColumns({
         "n_dup_lines": (F.size("__full") - F.size(F.array_distinct("__full"))).cast("long"),
         "__sorted": F.expr("CASE WHEN size(array_distinct(__windows)) < size(__windows) THEN array_sort(transform(__windows, (h, i) -> struct(h AS h, i AS i))) END"),
-        "__judged": F.expr(f"transform(__full, l -> struct(l AS l, {_line_fails('l', _word_count('l'))} AS fails))"),
+        "__judged": F.expr(f"transform(__full, l -> struct(l AS l, {_fails_cheap_first('l', _word_count('l'))} AS fails))"),
     }).drop("__words", "__windows")
     # places of windows found twice or more, in order
     out = out.withColumn("__places", F.expr("""CASE WHEN __sorted IS NOT NULL THEN array_sort(transform(
@@ -64,7 +75,7 @@ def quality_rules(docs: DataFrame, text_column: str = "text") -> DataFrame:
         "__lost": F.expr("aggregate(__judged, 0L, (a, x) -> a + CASE WHEN x.fails THEN length(x.l) ELSE 0 END)"),
         "__failed": F.expr("transform(filter(__judged, x -> x.fails), x -> x.l)"),
     })
-    clean = F.expr("CASE WHEN size(__failed) = 0 THEN __text ELSE array_join(array_except_all, '\n') END".replace("array_except_all", f"filter(__lines, l -> NOT (l rlike r'[^\\x20\\x09-\\x0D]' AND {_line_fails('l', _word_count('l'))}))"))
+    clean = F.expr("CASE WHEN size(__failed) = 0 THEN __text ELSE array_join(array_except_all, '\n') END".replace("array_except_all", f"filter(__lines, l -> NOT (l rlike r'[^\\x20\\x09-\\x0D]' AND {_fails_cheap_first('l', _word_count('l'))}))"))
     # The optimizer moves a filter below deterministic columns and repeats what it tests inside every lambda; the partition's number,
     # which changes nothing here, keeps filters on the verdict above.
     verdict = F.expr(f"NOT base_failed AND 100 * __lost <= {MAX_LOST} * __all") & (F.spark_partition_id() >= 0)
