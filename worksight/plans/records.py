@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from worksight.functions import parsing as P
+from worksight.operators.cosine import cosine_pairs
 from worksight.registry import Registry
 from worksight.tables import table
 
@@ -68,6 +69,12 @@ def tfidf_cosine_pairs(spark, d):
     return dot.join(la, "a").join(lb, "b").filter(cosine >= 0.5).select("a", "b", F.round(cosine, 4).alias("cosine"))
 
 
+@R.query()
+def tfidf_cosine_pairs_whole(spark, d):
+    """All pairs over all whole texts. Without SQL: joining all words is too slow; tests hold it against brute force."""
+    return cosine_pairs(table(spark, d, "documents").select("doc_id", "text"))
+
+
 @R.query("""SELECT doc_id, CASE WHEN regexp_matches(text, '(?i)password|secret|token') THEN 'names a credential' WHEN lang = 'de' THEN 'by language' END AS reason,
 CASE WHEN regexp_matches(text, '[|] .* [|]') THEN 'table' WHEN regexp_matches(text, '[#*$%&]{3}') THEN 'symbols' ELSE 'prose' END AS kind FROM documents""")
 def scope_reason_classify(spark, d):
