@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 DATE_LAYOUTS = ("d-MMM-yyyy", "d/M/yyyy", "d-M-yyyy", "d-MMM-yy", "yyyy-M-d")
 FIRST_YEAR, LAST_YEAR = 2000, 2035
 
+#: What must not be left in published text outside web addresses: e-mail addresses, mobile and landline numbers.
+LEAKS = (("n_mail", r"(?U)[\w.+-]+@[\w-]+(?:\.[\w-]+)+"), ("n_mobile", r"(?U)(?<![\w/#.=-])(?<!md5 )(?:\+?91[\s-]?)?[6-9]\d{9}(?![\w/.-])"), ("n_landline", r"(?U)(?<![\w/])0\d{2,4}[\s-]\d{6,8}(?![\w/])"))
+
 
 def clean(c: Column) -> Column:
     """Collapses blanks of any kind and trims; empty becomes NULL."""
