@@ -1,7 +1,9 @@
 """Training-order materialisation of token sequences.
 
 Each document becomes its token ids and one end marker, cut into sequences of a fixed length (the last padded with the end marker).
-Ids here are the bytes of the text, so sizes are known without tokenising; ``token_ids`` takes ids of any tokeniser instead.
+The query takes the ids of the package's SentencePiece encoder; ``token_ids`` names a column of any tokeniser's ids, and without it
+ids are the bytes of the text. The end marker is the first number past the vocabulary, so no id can be taken for it or for padding;
+elements have two bytes if it fits, else four, and ids outside the vocabulary are an error.
 Sequences are numbered without gaps: counts of hash buckets of documents are summed on the driver (a fixed number of buckets), the
 rest is a running sum within each bucket. A keyed Feistel network over the least even number of bits that holds all numbers, walked
 until it lands inside, permutes the numbers into global slots. Slot ranges are shards: rows go to the task of their shard, which
@@ -21,7 +23,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from worksight.llm import blocks
 from worksight.llm.hashing import U, mix
+from worksight.llm.sentencepiece_codec import MODEL, encode, read_pieces
 
 END, BUCKETS, ROUNDS = 256, 1024, 4
 
@@ -57,13 +61,21 @@ def _numbered(docs: DataFrame, n_sequences, id_column: str) -> tuple[DataFrame,
     return keyed.withColumn("__first", offsets + F.coalesce(F.sum("__n").over(order), F.lit(0))), total
 
 
-def training_order(docs: DataFrame, length: int = 512, per_shard: int = 1024, key: int = 20240601, id_column: str = "doc_id", text_column: str = "text", token_ids: str | None = None, start_shard: int = 0) -> DataFrame:
-    """shard, first_slot, n_sequences, stride (bytes), doc_ids, pieces (index of each sequence in its document), payload (little-endian uint16).
+def training_order(docs: DataFrame, length: int = 512, per_shard: int = 1024, key: int = 20240601, id_column: str = "doc_id", text_column: str = "text", token_ids: str | None = None, start_shard: int = 0, vocabulary: int | None = None) -> DataFrame:
+    """shard, first_slot, n_sequences, stride (bytes), width (bytes of an element), end_id, doc_ids, pieces (index of each sequence in its document), payload (little-endian, unsigned).
 
-    token_ids names an array<int> column to use instead of the bytes of the text; start_shard resumes from there.
+    token_ids names a column of integer arrays to use instead of the bytes of the text, with ids below vocabulary; start_shard resumes from there.
     """
+    if token_ids and not vocabulary:
+        raise ValueError("token_ids needs the size of its vocabulary")
+    end_id = vocabulary if token_ids else END
+    if end_id >= 1 << 32:
+        raise ValueError("elements have four bytes at most")
+    width = 2 if end_id < 1 << 16 else 4
     if token_ids:
-        body, size = F.col(token_ids), F.coalesce(F.size(token_ids), F.lit(0))
+        listed = docs.schema[token_ids].dataType.simpleString()
+        body = F.coalesce(F.col(token_ids), F.array().cast(listed))
+        size = F.size(body)
     else:
         body, size = F.coalesce(F.col(text_column), F.lit("")).cast("binary"), F.coalesce(F.octet_length(text_column), F.lit(0))
     rows = docs.select(F.col(id_column).alias("__id"), body.alias("__body"), size.alias("__size"), F.xxhash64(token_ids or text_column).alias("__order"))
@@ -78,7 +90,7 @@ def training_order(docs: DataFrame, length: int = 512, per_shard: int = 1024, ke
             yield pa.RecordBatch.from_arrays([pa.array(slot // per_shard), pa.array(slot), b.column(0), b.column(1), b.column(3)], names=["shard", "slot", "doc_id", "k", "body"])
 
     kind = docs.schema[id_column].dataType.simpleString()
-    placed = sequences.mapInArrow(slots, f"shard long, slot long, doc_id {kind}, k int, body {'array<int>' if token_ids else 'binary'}")
+    placed = sequences.mapInArrow(slots, f"shard long, slot long, doc_id {kind}, k int, body {listed if token_ids else 'binary'}")
     if start_shard:
         placed = placed.filter(F.col("shard") >= start_shard)
 
@@ -87,9 +99,14 @@ def training_order(docs: DataFrame, length: int = 512, per_shard: int = 1024, ke
         n = table.num_rows
         body = table.column("body").combine_chunks()
         body = body if isinstance(body, pa.Array) else pa.concat_arrays(body.chunks)
-        out = np.full((n, length), END, "<u2")
+        out = np.full((n, length), end_id, f"<u{width}")
         if pa.types.is_list(body.type):
-            sizes, flat = np.diff(body.offsets.to_numpy()), body.flatten().to_numpy()
+            ids = body.flatten()
+            if ids.null_count:
+                raise ValueError("an id is null")
+            sizes, flat = np.diff(body.offsets.to_numpy()), ids.to_numpy()
+            if len(flat) and (flat.min() < 0 or flat.max() >= end_id):
+                raise ValueError(f"ids from {flat.min()} to {flat.max()} don't fit a vocabulary of {end_id}")
         else:
             joined = body.cast(pa.large_binary())
             off = np.frombuffer(joined.buffers()[1], np.int64)[joined.offset : joined.offset + n + 1]
@@ -97,9 +114,9 @@ def training_order(docs: DataFrame, length: int = 512, per_shard: int = 1024, ke
         at = np.repeat(np.arange(n) * length - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
         out.ravel()[at] = flat
         shard = table.column("shard")[0].as_py()
-        return pa.table({"shard": [shard], "first_slot": [shard * per_shard], "n_sequences": [n], "stride": [2 * length], "doc_ids": pa.array([table.column("doc_id").to_pylist()]), "pieces": pa.array([table.column("k").to_pylist()], pa.list_(pa.int32())), "payload": pa.array([out.tobytes()], pa.binary())})
+        return pa.table({"shard": [shard], "first_slot": [shard * per_shard], "n_sequences": [n], "stride": [width * length], "width": pa.array([width], pa.int32()), "end_id": [end_id], "doc_ids": pa.array([table.column("doc_id").to_pylist()]), "pieces": pa.array([table.column("k").to_pylist()], pa.list_(pa.int32())), "payload": pa.array([out.tobytes()], pa.binary())})
 
-    return placed.groupBy("shard").applyInArrow(lay_out, f"shard long, first_slot long, n_sequences long, stride long, doc_ids array<{kind}>, pieces array<int>, payload binary")
+    return placed.groupBy("shard").applyInArrow(lay_out, f"shard long, first_slot long, n_sequences long, stride long, width int, end_id long, doc_ids array<{kind}>, pieces array<int>, payload binary")
 
 
 def read_slots(shards: DataFrame, start: int, end: int, per_shard: int = 1024) -> DataFrame:
@@ -112,4 +129,7 @@ def read_slots(shards: DataFrame, start: int, end: int, per_shard: int = 1024) -
 
 def op8_training_order(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return training_order(docs, length=512, per_shard=1024)
+    with open(MODEL, "rb") as f:
+        vocabulary = len(read_pieces(f.read()))
+    ids = blocks.materialise(encode(docs).select("doc_id", "piece_ids"), "ids")  # read twice
+    return training_order(ids, length=512, per_shard=1024, token_ids="piece_ids", vocabulary=vocabulary)
