@@ -6,9 +6,8 @@ and differ within a class. Two sets that reach the threshold share a token among
 every order. A document whose prefix is all its own is done; pairs must share prefix tokens in all orders before they are verified
 on the whole sets.
 
-Equal sets are one node. Linking keeps all connections without all pairs of a group: in a few rounds every node is verified against
-the most central node of its lists that is not of its own component; lists whose nodes are then one component are closed, and only
-pairs across components that remain in one list, and whose places in it leave enough tokens to reach the threshold, are enumerated.
+Equal sets are one node. All pairs of nodes that share a list, and whose places in it leave enough tokens to reach the threshold, are
+verified, so that every link between different sets is found and counted; long lists are dealt into parts and joined part by part.
 Documents without words are linked with nothing. Null texts have none. Rows that share an id are told apart by their sets. Case: A-Z are lower-cased.
 """
 
@@ -27,8 +26,8 @@ from worksight.llm import blocks as B
 from worksight.llm.hashing import Docs, Rolling, U, Words, mix, runs
 
 ORDERS = 3
-#: Rounds in which every node is verified against one central node before pairs are enumerated.
-STARS = 3
+#: About the nodes of one part of a token's list.
+PART_NODES = 1024
 _SCHEMA = "node long, n_shingles long, tokens binary, p1 array<long>, p2 array<long>, p3 array<long>"
 
 
@@ -150,19 +149,8 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new.select("node", "label")
 
 
-def _labelled(edges: DataFrame | None, nodes: DataFrame) -> DataFrame:
-    if edges is None:
-        return nodes.withColumn("comp", F.col("node"))
-    return nodes.join(components(edges), "node", "left").withColumn("comp", F.coalesce("label", "node")).drop("label")
-
-
-def _open(lists: DataFrame) -> DataFrame:
-    """Tokens whose nodes are in several components."""
-    return lists.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("token")
-
-
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text", n_bytes: int | None = None) -> DataFrame:
-    """doc_id, n_shingles, component_id (least id reachable by links) and n_links (distinct other sets that this one was found linked with)."""
+    """doc_id, n_shingles, component_id (least id reachable by links) and n_links (distinct other sets that this one is linked with)."""
     spark = docs.sparkSession
     n_bytes = B.text_bytes(docs, text_column) if n_bytes is None else n_bytes
     every = B.materialise(shingle_sets(docs, k, percent, id_column, text_column, n_bytes), "sets")
@@ -176,39 +164,20 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_column
     lists = sets.select("node", last.alias("last"), F.posexplode("p1").alias("at", "token")).select("node", "token", (F.col("last") - F.col("at")).alias("rest"))
     lists = B.materialise(lists.distinct(), "lists")
     shared = lists.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1")
-    # a node is central if many share its tokens: the text that others were edited from
-    lists = B.materialise(lists.join(shared, "token"), "lists")
-    central = lists.groupBy("node").agg(F.sum("n").alias("score"))
-    lists = B.materialise(lists.select("token", "node", "rest").join(central, "node"), "lists")
-    edges = tested = led = None
-    for _ in range(STARS):
-        at = _labelled(edges, lists)
-        if edges is not None:
-            at = B.materialise(at, "lists")
-            at = at.join(_open(at), "token")
-        free = at if led is None else at.join(led, ["token", "node"], "left_anti")
-        leads = B.materialise(free.groupBy("token").agg(F.max(F.struct("score", "node", "comp")).alias("lead")).select("token", F.col("lead.node").alias("lead"), F.col("lead.comp").alias("lead_comp"), F.col("lead.score").alias("lead_score")), "leads")
-        asked = at.join(leads, "token").filter("comp <> lead_comp").groupBy("node", "lead", "lead_score").agg(F.count("*").alias("n"))
-        best = asked.groupBy("node").agg(F.max_by("lead", F.struct("lead_score", "n", "lead")).alias("lead"))
-        pairs = best.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
-        pairs = B.materialise(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        found = B.materialise(_verified(pairs, sets, percent), "edges")
-        edges = found if edges is None else edges.union(found)
-        tested = pairs if tested is None else tested.union(pairs)
-        leads = leads.select("token", F.col("lead").alias("node"))
-        led = leads if led is None else led.union(leads)
-        _release(spark)
-    at = B.materialise(_labelled(edges, lists), "lists")
-    at = at.join(_open(at), "token").select("token", "node", "comp", "rest")
-    sizes = sets.select("node", F.col("n_shingles").alias("n"))
-    at = B.materialise(at.join(sizes, "node"), "lists")
-    other = at.select("token", *(F.col(c).alias(f"o_{c}") for c in ("node", "comp", "n", "rest")))
+    sizes = sets.select("node", F.col("n_shingles").alias("size"))
+    at = lists.join(shared, "token").join(sizes, "node")
+    # long lists are dealt into parts, and each pair of parts is joined on its own
+    g = F.ceil(F.col("n") / F.lit(PART_NODES)).cast("int")
+    at = at.withColumn("part", F.pmod(F.xxhash64("node"), g).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), g - 1)))
+    at = at.select("token", "node", "size", "rest", "part", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"))
+    at = B.materialise(at, "lists")
+    other = at.filter("part = hi").select("token", "lo", "hi", *(F.col(c).alias(f"o_{c}") for c in ("node", "size", "rest")))
     # at the first token that two sets share, what both have left bounds what they share
-    enough = (100 + percent) * F.least("rest", "o_rest") >= percent * (F.col("n") + F.col("o_n"))
-    near = (F.col("node") < F.col("o_node")) & (F.col("comp") != F.col("o_comp")) & (100 * F.least("n", "o_n") >= percent * F.greatest("n", "o_n"))
-    pairs = at.join(other, "token").filter(near & enough).select(F.col("node").alias("a"), F.col("o_node").alias("b")).distinct()
-    pairs = B.materialise(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-    edges = edges.union(B.materialise(_verified(pairs, sets, percent), "edges"))
+    enough = (100 + percent) * F.least("rest", "o_rest") >= percent * (F.col("size") + F.col("o_size"))
+    near = ((F.col("lo") < F.col("hi")) | (F.col("node") < F.col("o_node"))) & (100 * F.least("size", "o_size") >= percent * F.greatest("size", "o_size"))
+    pairs = at.filter("part = lo").join(other, ["token", "lo", "hi"]).filter(near & enough)
+    pairs = B.materialise(pairs.select(F.least("node", "o_node").alias("a"), F.greatest("node", "o_node").alias("b")).distinct(), "pairs")
+    edges = B.materialise(_verified(pairs, sets, percent), "edges")
     _release(spark)
     links = edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
     of_node = nodes.join(components(edges), "node", "left").withColumn("comp", F.coalesce("label", "node"))
@@ -228,4 +197,4 @@ def _release(spark) -> None:
 
 def op1_jaccard_join(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return jaccard_components(docs, k=4, percent=85).select("doc_id", "n_shingles", "component_id")
+    return jaccard_components(docs, k=4, percent=85).select("doc_id", "n_shingles", "component_id", "n_links")
