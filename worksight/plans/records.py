@@ -47,6 +47,11 @@ def tokens_document_frequency(spark, d):
     return table(spark, d, "benchmark").select(F.explode(F.array_distinct(P.content_tokens(F.col("text")))).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
 
 
+@R.query(r"""SELECT token, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest(list_filter(string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' '), lambda w: length(w) > 1 AND w NOT IN ('of', 'the', 'and', 'in', 'to', 'at', 'for', 'from', 'with', 'on', 'by', 'no') AND NOT regexp_matches(w, '^\d{5,}$'))) AS token FROM documents) GROUP BY 1""")
+def corpus_document_frequency(spark, d):
+    return table(spark, d, "documents").select(F.explode(F.array_distinct(P.content_tokens(F.col("text")))).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
+
+
 @R.query(r"""WITH t AS (SELECT doc_id, unnest(list_filter(string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' '), lambda w: length(w) > 1 AND w NOT IN ('of', 'the', 'and', 'in', 'to', 'at', 'for', 'from', 'with', 'on', 'by', 'no') AND NOT regexp_matches(w, '^\d{5,}$'))) AS w FROM documents WHERE n_chars <= 400),
 tf AS (SELECT doc_id, w, count(*) AS tf FROM t GROUP BY 1, 2), n AS (SELECT count(DISTINCT doc_id) AS n FROM tf), df AS (SELECT w, count(*) AS df FROM tf GROUP BY 1),
 v AS (SELECT doc_id, w, tf * ln((1 + n) / (1 + df)::DOUBLE) AS x, df FROM tf JOIN df USING (w), n), l AS (SELECT doc_id, sqrt(sum(x * x)) AS len FROM v GROUP BY 1)
