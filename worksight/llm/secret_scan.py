@@ -87,14 +87,13 @@ class BlobLedger:
 
     def update(self, docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", rule_version: str = RULE_VERSION) -> None:
         """Scans the contents of docs that the ledger lacks under this rule version."""
-        texts = docs.select(F.col(id_column).alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text")).withColumn("blob", F.sha2("text", 256))
-        one_each = texts.groupBy("blob").agg(F.min("id").alias("id"))
-        unseen = one_each.join(self.scanned().filter(F.col("rule_version") == rule_version), "blob", "left_anti")
-        to_scan = texts.join(unseen, texts["id"].eqNullSafe(unseen["id"]) & (texts["blob"] == unseen["blob"]), "left_semi")
+        texts = docs.select(F.coalesce(F.col(text_column), F.lit("")).alias("text")).withColumn("blob", F.sha2("text", 256))
+        unseen = texts.join(self.scanned().filter(F.col("rule_version") == rule_version), "blob", "left_anti")
+        to_scan = unseen.dropDuplicates(["blob"])  # one row of each content, whatever ids it stands under
         run = os.path.join(self.path, uuid.uuid4().hex)
         version = F.lit(rule_version).alias("rule_version")
-        findings_of(to_scan.select("blob", "text")).distinct().select("*", version).write.parquet(f"{run}/findings")
-        unseen.select("blob", version).write.parquet(f"{run}/scanned")
+        findings_of(to_scan.select("blob", "text")).select("*", version).write.parquet(f"{run}/findings")
+        unseen.select("blob").distinct().select("blob", version).write.parquet(f"{run}/scanned")
 
 
 def _listed(spans: Column) -> Column:
