@@ -28,9 +28,15 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents connected by five-word shingle sets with a similarity of 0.8 the one with the least doc_id stays."""
-    later = jaccard_components(docs, k=5, percent=80).filter("component_id < doc_id").select("doc_id")
-    return docs.join(later, "doc_id", "left_anti").select(*COLUMNS)
+    """Of rows connected by five-word shingle sets with a similarity of 0.8 one stays: that of the least doc_id (null last), then of the least row key.
+
+    Rows are told apart by a hash of all their columns, not by doc_id; of rows that are equal in all columns one stays.
+    """
+    rows = docs.select(*COLUMNS).withColumn("row_key", F.xxhash64(*COLUMNS, *(F.col(c).isNull() for c in COLUMNS)))  # nulls alone leave the hash as it is
+    found = jaccard_components(rows, k=5, percent=80, id_column="row_key").select("row_key", "component_id")
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")
+    kept = found.distinct().join(rows.select("row_key", "doc_id").distinct(), "row_key").groupBy("component_id").agg(F.min(first).alias("first"))
+    return rows.join(kept.select(F.col("first.row_key").alias("row_key")), "row_key", "left_semi").dropDuplicates(["row_key"]).select(*COLUMNS)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

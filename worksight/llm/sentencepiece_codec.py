@@ -294,6 +294,25 @@ def encode(docs: DataFrame, model_path: str = MODEL, text_column: str = "text",
     return docs.mapInArrow(f, schema)
 
 
+def decode(docs: DataFrame, model_path: str = MODEL, ids_column: str = "piece_ids") -> DataFrame:
+    """docs with decoded, the text of stored ids; null ids give null."""
+    with open(model_path, "rb") as f:
+        model = f.read()
+    names = [c for c in docs.columns if c != "decoded"]
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in names), "decoded string"])
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = codec(model)
+        for b in batches:
+            lists = b.column(b.schema.get_field_index(ids_column)).to_pylist()
+            sizes = np.array([len(x or ()) for x in lists], np.int64)
+            ids = np.array([i for x in lists for i in x or ()], np.int64)
+            texts = [None if x is None else t for x, t in zip(lists, c.decode(ids, sizes))]
+            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(x)) for x in names), pa.array(texts, pa.string())], names=[*names, "decoded"])
+
+    return docs.mapInArrow(f, schema)
+
+
 def op10_sentencepiece(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     out = encode(docs, decoded=True)
