@@ -26,3 +26,9 @@ def test_links_equal_brute_force(spark, monkeypatch, part):
     want = {i: sum(1 for o in distinct if s and o != s and alike(s, o)) for i, s in sets.items()}
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert {x.doc_id: x.n_links for x in jaccard_components(df, 4, 85).collect()} == want and max(want.values()) > 3
+
+
+def test_repeated_rows_are_one_link(spark):
+    text = " ".join(f"w{i}" for i in range(80))
+    df = spark.createDataFrame([(1, text), (1, text), (1, text), (2, text + " x"), (2, text + " x")], "doc_id long, text string")
+    assert {(x.doc_id, x.component_id, x.n_links) for x in jaccard_components(df, 4, 85).collect()} == {(1, 1, 1), (2, 1, 1)}

@@ -164,7 +164,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_column
     lists = sets.select("node", last.alias("last"), F.posexplode("p1").alias("at", "token")).select("node", "token", (F.col("last") - F.col("at")).alias("rest"))
     lists = B.materialise(lists.distinct(), "lists")
     shared = lists.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1")
-    sizes = sets.select("node", F.col("n_shingles").alias("size"))
+    sizes = sets.select("node", F.col("n_shingles").alias("size")).distinct()  # rows that repeat with their id
     at = lists.join(shared, "token").join(sizes, "node")
     # long lists are dealt into parts, and each pair of parts is joined on its own
     g = F.ceil(F.col("n") / F.lit(PART_NODES)).cast("int")
@@ -177,7 +177,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_column
     near = ((F.col("lo") < F.col("hi")) | (F.col("node") < F.col("o_node"))) & (100 * F.least("size", "o_size") >= percent * F.greatest("size", "o_size"))
     pairs = at.filter("part = lo").join(other, ["token", "lo", "hi"]).filter(near & enough)
     pairs = B.materialise(pairs.select(F.least("node", "o_node").alias("a"), F.greatest("node", "o_node").alias("b")).distinct(), "pairs")
-    edges = B.materialise(_verified(pairs, sets, percent), "edges")
+    edges = B.materialise(_verified(pairs, sets, percent).distinct(), "edges")
     _release(spark)
     links = edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
     of_node = nodes.join(components(edges), "node", "left").withColumn("comp", F.coalesce("label", "node"))
