@@ -8,6 +8,7 @@ an operator form one plan in which the dealt-out documents are a single reused e
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import tempfile
@@ -19,8 +20,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from worksight.llm.hashing import U, mix
+from worksight.llm.hashing import U, mix, runs
 
 BLOCK, PART = "__block", "__part"
 #: Bytes of text in a block, and entries a range of hashes should hold.
@@ -30,23 +32,55 @@ ANSWERED = f"{BLOCK} long, kind int, keys binary, more binary, flags binary"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see; a local one only where none is named, as in tests."""
+    """The folder that all executors see. Only a session whose executors live in the driver, as in tests, gets one of its own."""
     at = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or getattr(shared_dir, "own", None)
     if not at:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         at = shared_dir.own = tempfile.mkdtemp(prefix="worksight-")
-        import atexit
-
         atexit.register(shutil.rmtree, at, True)
     return at
 
 
+def remove(spark: SparkSession, at: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _remove_at_exit(spark: SparkSession, at: str) -> None:
+    try:
+        remove(spark, at)
+    except Exception:  # the session's JVM may have gone before us
+        pass
+
+
+def own_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path under the shared one; what is written there goes when the driver ends."""
+    at = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    atexit.register(_remove_at_exit, spark, at)
+    return at
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Writes df to a table of its own in the shared folder and returns it as read from there."""
-    at = os.path.join(shared_dir(df.sparkSession), f"{name}-{uuid.uuid4().hex}")
+    at = own_folder(df.sparkSession, name)
     df.write.parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
+def numbered(docs: DataFrame, id_column: str) -> tuple[DataFrame, str]:
+    """docs and the name of an integer column that orders rows as id_column does: itself, or else a number added to them.
+
+    Ids that are no integers are sorted by ranges; a number holds the range and the place in it, so nothing is counted or collected.
+    """
+    if isinstance(docs.schema[id_column].dataType, IntegralType):
+        return docs, id_column
+    ids = docs.select(F.col(id_column).alias("__id")).filter(F.col("__id").isNotNull()).distinct()
+    ids = ids.repartitionByRange("__id").sortWithinPartitions("__id").withColumn("__number", F.monotonically_increasing_id())
+    ids = materialise(ids, "ids")
+    return docs.join(ids, docs[id_column] == ids["__id"], "left").drop("__id"), "__number"
+
+
 def text_bytes(docs: DataFrame, text: str = "text") -> int:
     return docs.agg(F.sum(F.octet_length(text)).alias("n")).first()["n"] or 0
 
@@ -85,15 +119,24 @@ def part_of(keys: np.ndarray, n_parts: int) -> np.ndarray:
 
 
 def pack(block: int, all_entries: list[Entries], n_parts: int) -> list[dict]:
+    """A row for each range that has entries; ranges without any cost nothing, however many there are."""
     rows = []
     for e in all_entries:
         part = part_of(e.keys, n_parts)
         order = np.argsort(part, kind="stable")
-        cuts = np.searchsorted(part[order], np.arange(n_parts + 1))
-        for p in range(n_parts):
-            at = order[cuts[p] : cuts[p + 1]]
-            if len(at):
-                rows.append({PART: p, BLOCK: block, "kind": e.kind, "keys": e.keys[at].tobytes(), "more": None if e.more is None else e.more[at].tobytes(), "docs": None if e.docs is None else _tight(e.docs[at].astype(np.int64)), "places": None if e.places is None else _tight(e.places[at].astype(np.int64)), "flags": None if e.flags is None else e.flags[at].astype(np.uint8).tobytes()})
+        cuts = np.append(runs(part[order]), len(order))
+        for begin, end in zip(cuts, cuts[1:]):
+            at = order[begin:end]
+            rows.append({
+                PART: int(part[at[0]]),
+                BLOCK: block,
+                "kind": e.kind,
+                "keys": e.keys[at].tobytes(),
+                "more": None if e.more is None else e.more[at].tobytes(),
+                "docs": None if e.docs is None else _tight(e.docs[at].astype(np.int64)),
+                "places": None if e.places is None else _tight(e.places[at].astype(np.int64)),
+                "flags": None if e.flags is None else e.flags[at].astype(np.uint8).tobytes(),
+            })
     return rows
 
 
@@ -189,9 +232,11 @@ def not_first(got: dict[int, Received]) -> list[dict]:
 
 
 def later(x: Received) -> np.ndarray:
-    order = np.lexsort((x.places, x.docs, x.keys))
-    keys, docs, places = x.keys[order], x.docs[order], x.places[order]
-    starts = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1])
+    """Entries whose key, and second key where there is one, also stands earlier."""
+    second = x.more if len(x.more) else np.zeros(len(x.keys), np.uint64)
+    order = np.lexsort((x.places, x.docs, second, x.keys))
+    keys, second, docs, places = x.keys[order], second[order], x.docs[order], x.places[order]
+    starts = np.concatenate([[0], np.flatnonzero((keys[1:] != keys[:-1]) | (second[1:] != second[:-1])) + 1])
     first = np.repeat(starts, np.diff(np.append(starts, len(keys))))
     return order[(docs != docs[first]) | (places != places[first])]
 

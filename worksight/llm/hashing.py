@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import secrets
+import sys
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -42,7 +45,7 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 
 class Rolling:
-    """Hashes of any stretch of a sequence of 64-bit values, from one prefix sum."""
+    """Cheap hashes of any stretch of a sequence of 64-bit values, from one prefix sum: to choose candidates, not to tell texts apart."""
 
     def __init__(self, values: np.ndarray):
         n = len(values)
@@ -61,6 +64,65 @@ class Rolling:
         return mix((self.sums[k:] - self.sums[: n - k + 1]) * self.inverse[: n - k + 1] + U(k * 0xD6E8FEB86659FD93 & _MASK))
 
 
+#: The Mersenne prime 2^61 - 1, and two bases below it. They are drawn anew by each driver, so no text can be made to collide;
+#: functions carry them to the workers by value, and all tasks of a job agree.
+PRIME = (1 << 61) - 1
+BASES = tuple(secrets.randbelow(PRIME - 1_000_000) + 500_000 for _ in range(2))
+_P = U(PRIME)
+
+
+def _below_prime(x: np.ndarray) -> np.ndarray:
+    x = (x & _P) + (x >> U(61))
+    x -= _P * (x >= _P)
+    return x
+
+
+def mulmod(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo the prime, for values below it."""
+    a_high, a_low, b_high, b_low = a >> U(31), a & U(0x7FFFFFFF), b >> U(31), b & U(0x7FFFFFFF)
+    middle = a_high * b_low + a_low * b_high
+    total = ((a_high * b_high) << U(1)) + (middle >> U(30)) + ((middle & U(0x3FFFFFFF)) << U(31)) + a_low * b_low
+    return _below_prime(total)
+
+
+def _prime_powers(base: int, n: int) -> np.ndarray:
+    """base^0 to base^(n - 1); a worker keeps up to four million of them."""
+    kept = sys.__dict__.setdefault("_worksight_powers", {})
+    out = kept.get(base, np.ones(1, np.uint64))
+    while len(out) < n:
+        out = np.concatenate([out, mulmod(out, np.full(1, pow(base, len(out), PRIME), np.uint64))])
+    if len(out) <= 4 << 20:
+        kept[base] = out
+    return out[:n]
+
+
+class Exact:
+    """Hashes of any stretch of a sequence by polynomials over a prime field.
+
+    Polynomials modulo a power of two collide on some long sequences whatever their base; these don't, but for a chance of about
+    length / 2^61 in each lane. Keys that decide a result use two lanes.
+    """
+
+    def __init__(self, values: np.ndarray, lane: int = 0):
+        n, base = len(values), BASES[lane]
+        self.powers = _prime_powers(pow(base, -1, PRIME), n + 1)
+        terms = mulmod(_below_prime(values.astype(np.uint64)), _prime_powers(base, n))
+        # halves of the terms are added apart, so that the sums stay below 2^64
+        high, low = np.cumsum(terms >> U(31)), np.cumsum(terms & U(0x7FFFFFFF))
+        self.sums = np.zeros(n + 1, np.uint64)
+        high = _below_prime(high)
+        self.sums[1:] = _below_prime(mulmod(high, np.full(1, 1 << 31, np.uint64)) + _below_prime(low))
+
+    def stretch(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        inner = _below_prime(self.sums[end] + _P - self.sums[start])
+        return mix(mulmod(inner, self.powers[start]) + (end - start).astype(np.uint64) * U(0xD6E8FEB86659FD93))
+
+    def grams(self, k: int) -> np.ndarray:
+        """Of every k consecutive values."""
+        start = np.arange(max(0, len(self.sums) - k))
+        return self.stretch(start, start + k)
+
+
 class Docs:
     """The texts of an Arrow table as one byte buffer with offsets, in order of (doc_id, text)."""
 
@@ -112,7 +174,7 @@ class Words:
     def __init__(self, docs: Docs, lower: bool = False, separator: np.ndarray = BLANK):
         buf = LOWER[docs.buf] if lower else docs.buf
         self.start, self.end, self.doc = spans(buf, docs.off, separator)
-        self.hash = Rolling(_BYTE[buf]).stretch(self.start, self.end)
+        self.hash = Exact(_BYTE[buf]).stretch(self.start, self.end)
         #: Words before each document, and one more for the end.
         self.base = np.searchsorted(self.doc, np.arange(len(docs) + 1))
         self.count = np.diff(self.base)

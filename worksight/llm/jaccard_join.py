@@ -8,7 +8,8 @@ on the whole sets.
 
 Equal sets are one node. All pairs of nodes that share a list, and whose places in it leave enough tokens to reach the threshold, are
 verified, so that every link between different sets is found and counted; long lists are dealt into parts and joined part by part.
-Documents without words are linked with nothing. Null texts have none. Rows that share an id are told apart by their sets. Case: A-Z are lower-cased.
+Documents without words are linked with nothing. Null texts have none. Rows that share an id are told apart by their sets, and ids may
+be of any type that sorts. Case: A-Z are lower-cased.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from worksight.llm import blocks as B
-from worksight.llm.hashing import Docs, Rolling, U, Words, mix, runs
+from worksight.llm.hashing import Docs, Exact, U, Words, mix, runs
 
 ORDERS = 3
 #: About the nodes of one part of a token's list.
@@ -37,7 +38,7 @@ class _Sets:
     def __init__(self, table: pa.Table, k: int, id_column: str, text_column: str):
         self.docs = d = Docs(table, id_column, text_column)
         w = Words(d, lower=True)
-        rolling, n = Rolling(w.hash), len(w.doc)
+        rolling, n = Exact(w.hash), len(w.doc)
         at = np.flatnonzero(w.doc[: max(0, n - k + 1)] == w.doc[k - 1 :][: max(0, n - k + 1)])
         short = np.flatnonzero((w.count > 0) & (w.count < k))
         start, end = np.concatenate([at, w.base[short]]), np.concatenate([at + k, w.base[short + 1]])
@@ -153,6 +154,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_column
     """doc_id, n_shingles, component_id (least id reachable by links) and n_links (distinct other sets that this one is linked with)."""
     spark = docs.sparkSession
     n_bytes = B.text_bytes(docs, text_column) if n_bytes is None else n_bytes
+    named = id_column
+    docs, id_column = B.numbered(docs.select(named, text_column), named)
     every = B.materialise(shingle_sets(docs, k, percent, id_column, text_column, n_bytes), "sets")
     _release(spark)
     alive = every.filter("tokens IS NOT NULL")
@@ -186,7 +189,13 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_column
     rows = every.select("doc_id", "node", "n_shingles", F.col("tokens").isNotNull().alias("alive"))
     out = rows.join(of_node, "node", "left")
     own = ~F.col("alive") | F.col("component_id").isNull()
-    return out.select(F.col("doc_id").alias(id_column), "n_shingles", F.when(own, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.when(own, F.lit(0).cast("long")).otherwise(F.col("n_links")).alias("n_links"))
+    out = out.select(F.col("doc_id").alias(id_column), "n_shingles", F.when(own, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.when(own, F.lit(0).cast("long")).otherwise(F.col("n_links")).alias("n_links"))
+    if id_column == named:
+        return out
+    names = docs.select(id_column, named).distinct()
+    out = out.join(names, id_column, "left").withColumnRenamed("component_id", "component")
+    names = names.select(F.col(id_column).alias("component"), F.col(named).alias("component_id"))
+    return out.join(names, "component", "left").select(named, "n_shingles", "component_id", "n_links")
 
 
 def _release(spark) -> None:

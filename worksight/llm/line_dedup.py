@@ -5,7 +5,8 @@ overlap. Of equal windows the first in order of (doc_id, line) stays; the lines
 windows being merged, and what is left is joined by line feeds as it stood.
 
 Nulls stay null, documents with fewer lines than a window stay as they are, and rows that share a doc_id don't outrank each other.
-Other columns pass through; hashes have 64 bits.
+Ids may be of any type that sorts; other columns pass through. Windows of different blocks are compared by two hashes of 61 bits over a
+prime field, with bases drawn by the driver. A document lies in one block, so its text must fit a task's memory a few times over.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from worksight.llm import blocks as B
-from worksight.llm.hashing import _BYTE, BLANK, NEWLINE, Docs, Rolling, cover, spans, within
+from worksight.llm.hashing import _BYTE, BLANK, NEWLINE, Docs, Exact, cover, spans, within
 from worksight.llm.substring_dedup import strings
 
 
@@ -29,17 +30,22 @@ class _Lines:
         a, b = np.searchsorted(word_start, start), np.searchsorted(word_start, end) - 1
         full = a <= b
         self.start, self.end, self.doc = start[full], end[full], doc[full]
-        hashes = Rolling(_BYTE[d.buf]).stretch(word_start[a[full]], word_end[b[full]])
+        self.hashes = Exact(_BYTE[d.buf]).stretch(word_start[a[full]], word_end[b[full]])
         self.base = np.searchsorted(self.doc, np.arange(len(d) + 1))
         n = max(0, len(self.doc) - window + 1)
         self.at = np.flatnonzero(self.doc[:n] == self.doc[window - 1 :][:n])
-        self.keys = Rolling(hashes).grams(window)[self.at]
+        self.window = window
+        self.keys = self.second(0)
         self.ids, self.places = d.ids[self.doc[self.at]], self.at - self.base[self.doc[self.at]]
 
+    def second(self, lane: int = 1) -> np.ndarray:
+        return Exact(self.hashes, lane).grams(self.window)[self.at]
+
 
 def line_dedup(docs: DataFrame, window: int = 3, id_column: str = "doc_id", text_column: str = "text", n_bytes: int | None = None) -> DataFrame:
     """docs with what is left in text, and n_lines (with a word) and n_lines_removed."""
     n_bytes = B.text_bytes(docs, text_column) if n_bytes is None else n_bytes
+    own, (docs, id_column) = docs.columns, B.numbered(docs, id_column)
     at = B.dealt(docs, n_bytes, id_column)
     names = [f.name for f in docs.schema.fields if f.name not in ("n_lines", "n_lines_removed")]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in names), "n_lines long, n_lines_removed long"])
@@ -48,7 +54,7 @@ def line_dedup(docs: DataFrame, window: int = 3, id_column: str = "doc_id", text
         x = _Lines(table, window, id_column, text_column)
         first, _ = B.first_of(x.keys, x.ids, x.places)
         first.sort()
-        return [B.Entries(x.keys[first], x.ids[first], x.places[first])]
+        return [B.Entries(x.keys[first], x.ids[first], x.places[first], x.second()[first])]
 
     def make(table: pa.Table, got: list[dict]) -> pa.Table:
         x = _Lines(table, window, id_column, text_column)
@@ -72,7 +78,8 @@ def line_dedup(docs: DataFrame, window: int = 3, id_column: str = "doc_id", text
         return B.with_columns(d.table, columns, [*names, "n_lines", "n_lines_removed"])
 
     answers = B.settle(B.send(at, ask, max(1, n_bytes // (60 * B.PART_ENTRIES))), B.not_first)
-    return B.finish(at, answers, make, schema)
+    out = B.finish(at, answers, make, schema)
+    return out if id_column in own else out.drop(id_column)
 
 
 def op2_line_dedup(spark, sf_dir: str) -> DataFrame:

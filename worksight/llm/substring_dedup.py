@@ -17,13 +17,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from worksight.llm import blocks as B
-from worksight.llm.hashing import TOP, Docs, Rolling, Words, cover, minimizers, runs, within
+from worksight.llm.hashing import TOP, Docs, Exact, Rolling, Words, cover, minimizers, runs, within
 
 
-def levels_of(min_words: int) -> list[int]:
-    """Lengths that double up to min_words, from a quarter of it."""
+def levels_of(min_words: int, least: int = 4) -> list[int]:
+    """Lengths that double up to min_words, from the shortest of least words or more; shorter ones repeat everywhere."""
     out = [min_words]
-    while out[0] > 1 and len(out) < 3:
+    while -(-out[0] // 2) >= least:
         out.insert(0, -(-out[0] // 2))
     return out
 
@@ -53,6 +53,9 @@ class _Block:
         keys, times = np.unique(grams[chosen], return_counts=True)
         return [B.Entries(keys, flags=(times > 1).astype(np.uint8))]
 
+    def windows(self, at: np.ndarray, lane: int = 0) -> np.ndarray:
+        return Exact(self.words.hash, lane).stretch(at, at + self.window)
+
     def places(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         doc = self.words.doc[at]
         return self.docs.ids[doc], at - self.words.base[doc]
@@ -82,6 +85,7 @@ def strings(data: np.ndarray, off: np.ndarray, binary: bool = False) -> pa.Array
 def substring_dedup(docs: DataFrame, min_words: int = 20, id_column: str = "doc_id", text_column: str = "text", n_bytes: int | None = None) -> DataFrame:
     """docs with n_words, n_removed and kept_text (the words that stay, joined by one space)."""
     n_bytes = B.text_bytes(docs, text_column) if n_bytes is None else n_bytes
+    own, (docs, id_column) = docs.columns, B.numbered(docs, id_column)
     parts = max(1, n_bytes // (6 * 2 * B.PART_ENTRIES))
     at = B.dealt(docs, n_bytes, id_column)
     ks = levels_of(min_words)
@@ -97,11 +101,11 @@ def substring_dedup(docs: DataFrame, min_words: int = 20, id_column: str = "doc_
             if doubled < min_words:
                 return x.count(doubled)
             places = np.flatnonzero(x.valid)
-            keys = x.rolling.grams(min_words)[places]
+            keys = x.windows(places)
             ids, starts = x.places(places)
             first, _ = B.first_of(keys, ids, starts)
             first.sort()
-            return [B.Entries(keys[first], ids[first], starts[first])]
+            return [B.Entries(keys[first], ids[first], starts[first], x.windows(places, 1)[first])]
 
         return ask
 
@@ -118,14 +122,15 @@ def substring_dedup(docs: DataFrame, min_words: int = 20, id_column: str = "doc_
     def make(table: pa.Table, got: list[dict]) -> pa.Table:
         x = read(table)
         starts = np.flatnonzero(x.valid)
-        keys = x.rolling.grams(min_words)[starts]
+        keys = x.windows(starts)
         _, again = B.first_of(keys, *x.places(starts))
         starts = starts[again | within(B.told(got), keys)]
         gone = cover(len(x.words.doc), starts, starts + min_words)
         removed = np.bincount(x.words.doc[gone], minlength=len(x.docs))
         return B.with_columns(x.docs.table, {"n_words": pa.array(x.words.count, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_text": joined_words(x.docs, x.words, ~gone)}, names)
 
-    return B.finish(at, answers, make, added)
+    out = B.finish(at, answers, make, added)
+    return out if id_column in own else out.drop(id_column)
 
 
 def op5_substring_dedup(spark, sf_dir: str) -> DataFrame:

@@ -13,7 +13,8 @@ predecessor. Starts that match over ``length`` bytes or more are linked, and all
 A representative with more than ``HOT`` distinct contents within one block is common to very many documents (the edges of a
 passage that everything quotes). Its strings are settled one by one, by hash, combined within each block before they are sent.
 
-Nulls and empty texts have no bytes. Rows that share doc_id and position don't outrank each other. Hashes have 64 bits.
+Nulls and empty texts have no bytes. Rows that share doc_id and position don't outrank each other. Ids may be of any type that sorts.
+Contents meet by gram and a hash of 61 bits over a prime field, single strings by two such hashes; bases are drawn by the driver.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from worksight.llm import blocks as B
-from worksight.llm.hashing import _BYTE, U, Docs, Rolling, cover, mix, runs, slide, within
+from worksight.llm.hashing import _BYTE, Docs, Exact, Rolling, U, cover, mix, runs, slide, within
 from worksight.llm.substring_dedup import strings
 
 GRAM, HOT, SHARD_BYTES = 24, 16, 3 << 20
@@ -34,11 +35,11 @@ LATER, INDEXED, HASHED = 1, 2, 3
 class _Stretches:
     def __init__(self, table: pa.Table, length: int, id_column: str, text_column: str):
         self.docs = d = Docs(table, id_column, text_column)
-        self.length, self.rolling = length, Rolling(_BYTE[d.buf])
+        self.length, self.exact = length, Exact(_BYTE[d.buf])
         k = min(GRAM, length)
         m, n = length - k + 1, max(0, len(d.buf) - length + 1)
         sizes = np.maximum(np.diff(d.off) - length + 1, 0)
-        grams = self.rolling.grams(k)
+        grams = Rolling(_BYTE[d.buf]).grams(k)
         valid = cover(n, d.off[:-1][sizes > 0], (d.off[:-1] + sizes)[sizes > 0])
         if n:
             least = slide((grams & U(0xFFFFFFFF00000000)) | np.arange(len(grams), dtype=np.uint64), m) & U(0xFFFFFFFF)
@@ -50,7 +51,7 @@ class _Stretches:
         else:
             self.start = self.size = at = np.zeros(0, np.int64)
         self.gram = grams[at] if len(at) else np.zeros(0, np.uint64)
-        self.content = self.rolling.stretch(self.start, self.start + self.size - 1 + length)
+        self.content = self.exact.stretch(self.start, self.start + self.size - 1 + length)
         self.doc = np.searchsorted(d.off, self.start, side="right") - 1
         self.ids, self.places = d.ids[self.doc], self.start - d.off[self.doc]
         self.first, self.again = B.first_of(self.content, self.ids, self.places)
@@ -168,7 +169,7 @@ def _settle_strings(length: int):
             rows += got[HASHED].answer(B.later(got[HASHED]), HASHED)
         if INDEXED in got:
             x = got[INDEXED]
-            size = (x.places & 255) + length - 1
+            size = (x.places & 65535) + length - 1
             offset = np.cumsum(size) - size
             order = np.lexsort((x.places, x.docs, x.keys))
             key = x.keys[order]
@@ -187,7 +188,7 @@ def _settle_strings(length: int):
                 heads = np.flatnonzero(new)
                 count = np.diff(np.append(heads, len(found)))
                 owner = at[which[found[heads]]]
-                run = ((found[heads] - begin[which[found[heads]]]) * 256 + count).astype(np.uint64)
+                run = ((found[heads] - begin[which[found[heads]]]) * 65536 + count).astype(np.uint64)
                 for block in np.unique(x.owner[owner]):
                     mine = x.owner[owner] == block
                     rows.append({B.BLOCK: x.blocks[block], "kind": INDEXED, "keys": x.more[owner[mine]].tobytes(), "more": run[mine].tobytes(), "flags": None})
@@ -198,9 +199,10 @@ def _settle_strings(length: int):
 
 def suffix_dedup(docs: DataFrame, length: int = 100, id_column: str = "doc_id", text_column: str = "text", n_bytes: int | None = None) -> DataFrame:
     """docs with n_bytes, n_removed, n_spans and kept (the bytes that stay)."""
-    if length > 255:
-        raise ValueError("length is at most 255")
+    if length > 65_535:
+        raise ValueError("length is at most 65,535")
     total = B.text_bytes(docs, text_column) if n_bytes is None else n_bytes
+    own, (docs, id_column) = docs.columns, B.numbered(docs, id_column)
     at = B.dealt(docs, total, id_column)
     parts = max(1, total // (20 * B.PART_ENTRIES))
     read = lambda table: _Stretches(table, length, id_column, text_column)
@@ -213,7 +215,7 @@ def suffix_dedup(docs: DataFrame, length: int = 100, id_column: str = "doc_id",
     def hashed(x: _Stretches, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         starts = np.sort(x.windows(chosen))
         doc = np.searchsorted(x.docs.off, starts, side="right") - 1
-        return starts, x.rolling.stretch(starts, starts + length), x.docs.ids[doc], starts - x.docs.off[doc]
+        return starts, x.exact.stretch(starts, starts + length), x.docs.ids[doc], starts - x.docs.off[doc]
 
     def send_strings(table: pa.Table, got: pa.Table) -> pa.Table:
         if not table.num_rows:
@@ -224,17 +226,18 @@ def suffix_dedup(docs: DataFrame, length: int = 100, id_column: str = "doc_id",
         f = np.sort(x.first)
         chosen = f[within(np.union1d(B.told(rows, HASHED, "more"), x.unsent), x.content[f])]
         if len(chosen):
-            _, keys, ids, places = hashed(x, chosen)
+            at, keys, ids, places = hashed(x, chosen)
             first, _ = B.first_of(keys, ids, places)
             first.sort()
-            out += B.pack(block, [B.Entries(keys[first], ids[first], places[first], kind=HASHED)], parts)
+            second = Exact(_BYTE[x.docs.buf], 1).stretch(at[first], at[first] + length)
+            out += B.pack(block, [B.Entries(keys[first], ids[first], places[first], second, kind=HASHED)], parts)
         chosen = f[within(B.told(rows, INDEXED, "more"), x.content[f])]
         part = B.part_of(x.gram[chosen], parts)
         for p in np.unique(part):
             s = chosen[part == p]
             n = x.size[s] + length - 1
             data = x.docs.buf[np.repeat(x.start[s] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
-            out.append({B.PART: int(p), B.BLOCK: block, "kind": INDEXED, "keys": x.gram[s].tobytes(), "more": x.content[s].tobytes(), "docs": B._tight(x.ids[s]), "places": B._tight(x.places[s] * 256 + x.size[s]), "flags": data.tobytes()})
+            out.append({B.PART: int(p), B.BLOCK: block, "kind": INDEXED, "keys": x.gram[s].tobytes(), "more": x.content[s].tobytes(), "docs": B._tight(x.ids[s]), "places": B._tight(x.places[s] * 65536 + x.size[s]), "flags": data.tobytes()})
         return pa.Table.from_pylist([{c: r.get(c) for c in B._SENT.names} for r in out], B._SENT)
 
     def settle(table: pa.Table) -> pa.Table:
@@ -273,9 +276,9 @@ def suffix_dedup(docs: DataFrame, length: int = 100, id_column: str = "doc_id",
             lo = np.searchsorted(content, x.content[kept])
             times = np.searchsorted(content, x.content[kept], side="right") - lo
             run = run[np.repeat(lo - (np.cumsum(times) - times), times) + np.arange(int(times.sum()))]
-            begin = np.repeat(x.start[kept], times) + (run >> 8)
+            begin = np.repeat(x.start[kept], times) + (run >> 16)
             starts.append(begin)
-            ends.append(begin + (run & 255) - 1 + length)
+            ends.append(begin + (run & 65535) - 1 + length)
         gone = cover(n, np.concatenate(starts), np.concatenate(ends))
         sums = np.concatenate([[0], np.cumsum(gone)])
         removed = sums[d.off[1:]] - sums[d.off[:-1]]
@@ -287,7 +290,8 @@ def suffix_dedup(docs: DataFrame, length: int = 100, id_column: str = "doc_id",
         columns = {"n_bytes": pa.array(np.diff(d.off), pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(heads[d.off[1:]] - heads[d.off[:-1]], pa.int64()), "kept": strings(d.buf[~gone], d.off - sums[d.off], binary=True)}
         return B.with_columns(d.table, columns, names)
 
-    return B.finish(at, answers, make, schema)
+    out = B.finish(at, answers, make, schema)
+    return out if id_column in own else out.drop(id_column)
 
 
 def op7_suffix_dedup(spark, sf_dir: str) -> DataFrame:
