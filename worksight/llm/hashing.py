@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import secrets
-import sys
 
 import numpy as np
 import pyarrow as pa
@@ -11,8 +10,7 @@ import pyarrow.compute as pc
 
 U = np.uint64
 TOP = U(0xFFFFFFFFFFFFFFFF)
-_ODD, _MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
-_ODD_INV = pow(_ODD, -1, 1 << 64)
+_ODD = 0x9E3779B97F4A7C15
 
 #: Word separators: space and the controls from tab to carriage return.
 BLANK = np.zeros(256, bool)
@@ -33,94 +31,85 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * U(_ODD))
+#: Drawn anew by each driver, so no text can be made to collide; functions carry them to the workers by value, and all tasks of a
+#: job agree. The lanes are independent: keys that decide a result across blocks use both.
+SEEDS = tuple(U(secrets.randbits(64)) for _ in range(2))
+FACTORS = tuple(U(secrets.randbits(64) | 1) for _ in range(2))
+#: Values handled at a time, so that they stay in a core's cache; bytes of a long stretch that are hashed as one piece.
+CHUNK, PIECE = 1 << 15, 1024
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, U(base), np.uint64)
-    if n:
-        out[0] = 1
-        np.cumprod(out, out=out)
+def packed(buf: np.ndarray) -> np.ndarray:
+    """At each byte it and the seven after it as one number; zeros follow the end."""
+    n = len(buf)
+    padded = np.zeros(n + 15, np.uint8)
+    padded[:n] = buf
+    out = np.empty(n, np.uint64)
+    for k in range(8):
+        own = out[k::8]
+        own[:] = np.frombuffer(padded, "<u8", len(own), k)
     return out
 
 
-class Rolling:
-    """Cheap hashes of any stretch of a sequence of 64-bit values, from one prefix sum: to choose candidates, not to tell texts apart."""
-
-    def __init__(self, values: np.ndarray):
-        n = len(values)
-        self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(values * _powers(_ODD, n), out=self.sums[1:])
-        self.inverse = _powers(_ODD_INV, n + 1)
-
-    def stretch(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sums[end] - self.sums[start]) * self.inverse[start] + (end - start).astype(np.uint64) * U(0xD6E8FEB86659FD93))
-
-    def grams(self, k: int) -> np.ndarray:
-        """Of every k consecutive values."""
-        n = len(self.sums) - 1
-        if n < k:
-            return np.zeros(0, np.uint64)
-        return mix((self.sums[k:] - self.sums[: n - k + 1]) * self.inverse[: n - k + 1] + U(k * 0xD6E8FEB86659FD93 & _MASK))
-
-
-#: The Mersenne prime 2^61 - 1, and two bases below it. They are drawn anew by each driver, so no text can be made to collide;
-#: functions carry them to the workers by value, and all tasks of a job agree.
-PRIME = (1 << 61) - 1
-BASES = tuple(secrets.randbelow(PRIME - 1_000_000) + 500_000 for _ in range(2))
-_P = U(PRIME)
-
-
-def _below_prime(x: np.ndarray) -> np.ndarray:
-    x = (x & _P) + (x >> U(61))
-    x -= _P * (x >= _P)
-    return x
-
-
-def mulmod(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """a * b modulo the prime, for values below it."""
-    a_high, a_low, b_high, b_low = a >> U(31), a & U(0x7FFFFFFF), b >> U(31), b & U(0x7FFFFFFF)
-    middle = a_high * b_low + a_low * b_high
-    total = ((a_high * b_high) << U(1)) + (middle >> U(30)) + ((middle & U(0x3FFFFFFF)) << U(31)) + a_low * b_low
-    return _below_prime(total)
-
-
-def _prime_powers(base: int, n: int) -> np.ndarray:
-    """base^0 to base^(n - 1); a worker keeps up to four million of them."""
-    kept = sys.__dict__.setdefault("_worksight_powers", {})
-    out = kept.get(base, np.ones(1, np.uint64))
-    while len(out) < n:
-        out = np.concatenate([out, mulmod(out, np.full(1, pow(base, len(out), PRIME), np.uint64))])
-    if len(out) <= 4 << 20:
-        kept[base] = out
-    return out[:n]
-
-
-class Exact:
-    """Hashes of any stretch of a sequence by polynomials over a prime field.
+def stretches(buf: np.ndarray, start: np.ndarray, end: np.ndarray, lane: int = 0) -> np.ndarray:
+    """A hash of the bytes of each stretch, folded in eight at a time; not linear, so no two texts are bound to agree."""
+    size = end - start
+    out = mix(size.astype(np.uint64) * U(_ODD) ^ SEEDS[lane])
+    own = np.flatnonzero(size > 0)
+    if not len(own):
+        return out
+    if int(size.max()) > PIECE:
+        long = np.flatnonzero(size > PIECE)
+        pieces = -(-size[long] // PIECE)
+        off = np.concatenate([[0], np.cumsum(pieces)])
+        at = np.repeat(start[long], pieces) + (np.arange(off[-1]) - np.repeat(off[:-1], pieces)) * PIECE
+        each = stretches(buf, at, np.minimum(at + PIECE, np.repeat(end[long], pieces)), lane)
+        out[long] = mix(out[long] ^ stretches(each.view(np.uint8), 8 * off[:-1], 8 * off[1:], lane))
+        own = np.flatnonzero((size > 0) & (size <= PIECE))
+    padded = np.append(buf, np.zeros(8, np.uint8))
+    eight = np.ndarray((len(buf) + 1,), "<u8", padded.data, 0, (1,))
+    for begin in range(0, len(own), CHUNK):
+        which = own[begin : begin + CHUNK]
+        at, left, h = start[which], size[which], out[which]
+        while True:
+            value = eight[at]
+            short = left < 8
+            value[short] &= (U(1) << (left[short] * 8).astype(np.uint64)) - U(1)
+            h = mix(h ^ value)
+            more = left > 8
+            if not more.all():
+                out[which[~more]] = h[~more]
+                which, at, left, h = which[more], at[more], left[more], h[more]
+                if not len(which):
+                    break
+            at, left = at + 8, left - 8
+    return out
 
-    Polynomials modulo a power of two collide on some long sequences whatever their base; these don't, but for a chance of about
-    length / 2^61 in each lane. Keys that decide a result use two lanes.
-    """
 
-    def __init__(self, values: np.ndarray, lane: int = 0):
-        n, base = len(values), BASES[lane]
-        self.powers = _prime_powers(pow(base, -1, PRIME), n + 1)
-        terms = mulmod(_below_prime(values.astype(np.uint64)), _prime_powers(base, n))
-        # halves of the terms are added apart, so that the sums stay below 2^64
-        high, low = np.cumsum(terms >> U(31)), np.cumsum(terms & U(0x7FFFFFFF))
-        self.sums = np.zeros(n + 1, np.uint64)
-        high = _below_prime(high)
-        self.sums[1:] = _below_prime(mulmod(high, np.full(1, 1 << 31, np.uint64)) + _below_prime(low))
+def _grams_of(values: np.ndarray, k: int, lane: int) -> np.ndarray:
+    """Hashes of twice as many values at each step; those whose sizes add up to k are joined."""
+    n, width, done, out = len(values) - k + 1, 1, 0, None
+    while True:
+        if k & width:
+            part = values[done : done + n]
+            out = part if out is None else mix(out * FACTORS[lane] + part)
+            done += width
+        width *= 2
+        if width > k:
+            return mix(out ^ SEEDS[lane]) if k == 1 else out
+        values = mix(values[: -(width // 2)] * FACTORS[lane] + values[width // 2 :] + SEEDS[lane])
 
-    def stretch(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        inner = _below_prime(self.sums[end] + _P - self.sums[start])
-        return mix(mulmod(inner, self.powers[start]) + (end - start).astype(np.uint64) * U(0xD6E8FEB86659FD93))
 
-    def grams(self, k: int) -> np.ndarray:
-        """Of every k consecutive values."""
-        start = np.arange(max(0, len(self.sums) - k))
-        return self.stretch(start, start + k)
+def grams(values: np.ndarray, k: int, lane: int = 0) -> np.ndarray:
+    """A hash of every k consecutive values, which are hashes themselves."""
+    n = len(values) - k + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    out, step = np.empty(n, np.uint64), max(CHUNK, 4 * k)
+    for begin in range(0, n, step):
+        own = values[begin : begin + step + k - 1]
+        out[begin : begin + len(own) - k + 1] = _grams_of(own, k, lane)
+    return out
 
 
 class Docs:
@@ -174,7 +163,7 @@ class Words:
     def __init__(self, docs: Docs, lower: bool = False, separator: np.ndarray = BLANK):
         buf = LOWER[docs.buf] if lower else docs.buf
         self.start, self.end, self.doc = spans(buf, docs.off, separator)
-        self.hash = Exact(_BYTE[buf]).stretch(self.start, self.end)
+        self.hash = stretches(buf, self.start, self.end)
         #: Words before each document, and one more for the end.
         self.base = np.searchsorted(self.doc, np.arange(len(docs) + 1))
         self.count = np.diff(self.base)
@@ -182,11 +171,16 @@ class Words:
 
 def slide(a: np.ndarray, m: int, f=np.minimum) -> np.ndarray:
     """f over every m consecutive values."""
-    w, out = 1, a
-    while 2 * w <= m:
-        out = f(out[:-w], out[w:])
-        w *= 2
-    return f(out[: len(a) - m + 1], out[m - w :]) if m > w else out
+    n = len(a) - m + 1
+    out, step = np.empty(max(0, n), a.dtype), max(CHUNK, 4 * m)
+    for begin in range(0, n, step):
+        w, x = 1, a[begin : begin + step + m - 1]
+        size = len(x) - m + 1
+        while 2 * w <= m:
+            x = f(x[:-w], x[w:])
+            w *= 2
+        out[begin : begin + size] = f(x[:size], x[m - w :]) if m > w else x
+    return out
 
 
 def minimizers(grams: np.ndarray, valid: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:

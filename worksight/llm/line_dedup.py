@@ -5,8 +5,8 @@ overlap. Of equal windows the first in order of (doc_id, line) stays; the lines
 windows being merged, and what is left is joined by line feeds as it stood.
 
 Nulls stay null, documents with fewer lines than a window stay as they are, and rows that share a doc_id don't outrank each other.
-Ids may be of any type that sorts; other columns pass through. Windows of different blocks are compared by two hashes of 61 bits over a
-prime field, with bases drawn by the driver. A document lies in one block, so its text must fit a task's memory a few times over.
+Ids may be of any type that sorts; other columns pass through. Windows of different blocks are compared by two hashes of 64 bits, whose
+seeds the driver draws. A document lies in one block, so its text must fit a task's memory a few times over.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from worksight.llm import blocks as B
-from worksight.llm.hashing import _BYTE, BLANK, NEWLINE, Docs, Exact, cover, spans, within
+from worksight.llm.hashing import BLANK, NEWLINE, Docs, cover, grams, spans, stretches, within
 from worksight.llm.substring_dedup import strings
 
 
@@ -30,7 +30,7 @@ class _Lines:
         a, b = np.searchsorted(word_start, start), np.searchsorted(word_start, end) - 1
         full = a <= b
         self.start, self.end, self.doc = start[full], end[full], doc[full]
-        self.hashes = Exact(_BYTE[d.buf]).stretch(word_start[a[full]], word_end[b[full]])
+        self.hashes = stretches(d.buf, word_start[a[full]], word_end[b[full]])
         self.base = np.searchsorted(self.doc, np.arange(len(d) + 1))
         n = max(0, len(self.doc) - window + 1)
         self.at = np.flatnonzero(self.doc[:n] == self.doc[window - 1 :][:n])
@@ -39,7 +39,7 @@ class _Lines:
         self.ids, self.places = d.ids[self.doc[self.at]], self.at - self.base[self.doc[self.at]]
 
     def second(self, lane: int = 1) -> np.ndarray:
-        return Exact(self.hashes, lane).grams(self.window)[self.at]
+        return grams(self.hashes, self.window, lane)[self.at]
 
 
 def line_dedup(docs: DataFrame, window: int = 3, id_column: str = "doc_id", text_column: str = "text", n_bytes: int | None = None) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from worksight.llm import blocks as B
-from worksight.llm.hashing import TOP, Docs, Exact, Rolling, Words, cover, minimizers, runs, within
+from worksight.llm.hashing import TOP, Docs, Words, cover, grams, minimizers, runs, within
 
 
 def levels_of(min_words: int, least: int = 4) -> list[int]:
@@ -32,15 +32,14 @@ class _Block:
     def __init__(self, table: pa.Table, window: int, id_column: str, text_column: str):
         self.docs = Docs(table, id_column, text_column)
         self.words = Words(self.docs)
-        self.rolling = Rolling(self.words.hash)
         n = max(0, len(self.words.doc) - window + 1)
         self.window = window
         self.valid = self.words.doc[:n] == self.words.doc[window - 1 :][:n]
 
     def representatives(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        grams = self.rolling.grams(k)
-        least, chosen = minimizers(grams, self.valid, self.window - k + 1)
-        return grams, least, chosen
+        hashes = grams(self.words.hash, k)
+        least, chosen = minimizers(hashes, self.valid, self.window - k + 1)
+        return hashes, least, chosen
 
     def alive(self, k: int, repeated: np.ndarray) -> np.ndarray:
         """Windows whose representative of length k is repeated."""
@@ -49,12 +48,12 @@ class _Block:
         return self.valid & np.repeat(within(repeated, least[at]) & (least[at] != TOP), np.diff(np.append(at, len(least))))
 
     def count(self, k: int) -> list[B.Entries]:
-        grams, _, chosen = self.representatives(k)
-        keys, times = np.unique(grams[chosen], return_counts=True)
+        hashes, _, chosen = self.representatives(k)
+        keys, times = np.unique(hashes[chosen], return_counts=True)
         return [B.Entries(keys, flags=(times > 1).astype(np.uint8))]
 
     def windows(self, at: np.ndarray, lane: int = 0) -> np.ndarray:
-        return Exact(self.words.hash, lane).stretch(at, at + self.window)
+        return grams(self.words.hash, self.window, lane)[at]
 
     def places(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         doc = self.words.doc[at]

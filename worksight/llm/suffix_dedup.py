@@ -14,7 +14,7 @@ A representative with more than ``HOT`` distinct contents within one block is co
 passage that everything quotes). Its strings are settled one by one, by hash, combined within each block before they are sent.
 
 Nulls and empty texts have no bytes. Rows that share doc_id and position don't outrank each other. Ids may be of any type that sorts.
-Contents meet by gram and a hash of 61 bits over a prime field, single strings by two such hashes; bases are drawn by the driver.
+Contents meet by gram and a hash of 64 bits, single strings by two such hashes; the driver draws their seeds.
 """
 
 from __future__ import annotations
@@ -25,24 +25,39 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from worksight.llm import blocks as B
-from worksight.llm.hashing import _BYTE, Docs, Exact, Rolling, U, cover, mix, runs, slide, within
+from worksight.llm.hashing import CHUNK, SEEDS, Docs, U, cover, grams, mix, packed, runs, slide, stretches, within
 from worksight.llm.substring_dedup import strings
 
 GRAM, HOT, SHARD_BYTES = 24, 16, 3 << 20
 LATER, INDEXED, HASHED = 1, 2, 3
 
 
+def _byte_grams(buf: np.ndarray, k: int) -> np.ndarray:
+    """A hash of every k consecutive bytes."""
+    if k % 8 or len(buf) < k:
+        return stretches(buf, at := np.arange(max(0, len(buf) - k + 1)), at + k)
+    eight = packed(buf)[: len(buf) - 7]
+    out = np.empty(len(buf) - k + 1, np.uint64)
+    for begin in range(0, len(out), CHUNK):
+        own = eight[begin : begin + CHUNK + k - 8]
+        h = mix(own[: len(own) - k + 8] ^ SEEDS[0])
+        for at in range(8, k, 8):
+            h = mix(h ^ own[at : at + len(h)])
+        out[begin : begin + CHUNK] = h
+    return out
+
+
 class _Stretches:
     def __init__(self, table: pa.Table, length: int, id_column: str, text_column: str):
         self.docs = d = Docs(table, id_column, text_column)
-        self.length, self.exact = length, Exact(_BYTE[d.buf])
+        self.length = length
         k = min(GRAM, length)
         m, n = length - k + 1, max(0, len(d.buf) - length + 1)
         sizes = np.maximum(np.diff(d.off) - length + 1, 0)
-        grams = Rolling(_BYTE[d.buf]).grams(k)
+        hashes = _byte_grams(d.buf, k)
         valid = cover(n, d.off[:-1][sizes > 0], (d.off[:-1] + sizes)[sizes > 0])
         if n:
-            least = slide((grams & U(0xFFFFFFFF00000000)) | np.arange(len(grams), dtype=np.uint64), m) & U(0xFFFFFFFF)
+            least = slide((hashes & U(0xFFFFFFFF00000000)) | np.arange(len(hashes), dtype=np.uint64), m) & U(0xFFFFFFFF)
             least = np.where(valid, least, U(0xFFFFFFFF))
             start = runs(least)
             size = np.diff(np.append(start, n))
@@ -50,8 +65,8 @@ class _Stretches:
             self.start, self.size, at = start[good], size[good], least[start[good]].astype(np.int64)
         else:
             self.start = self.size = at = np.zeros(0, np.int64)
-        self.gram = grams[at] if len(at) else np.zeros(0, np.uint64)
-        self.content = self.exact.stretch(self.start, self.start + self.size - 1 + length)
+        self.gram = hashes[at] if len(at) else np.zeros(0, np.uint64)
+        self.content = stretches(d.buf, self.start, self.start + self.size - 1 + length)
         self.doc = np.searchsorted(d.off, self.start, side="right") - 1
         self.ids, self.places = d.ids[self.doc], self.start - d.off[self.doc]
         self.first, self.again = B.first_of(self.content, self.ids, self.places)
@@ -215,7 +230,7 @@ def suffix_dedup(docs: DataFrame, length: int = 100, id_column: str = "doc_id",
     def hashed(x: _Stretches, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         starts = np.sort(x.windows(chosen))
         doc = np.searchsorted(x.docs.off, starts, side="right") - 1
-        return starts, x.exact.stretch(starts, starts + length), x.docs.ids[doc], starts - x.docs.off[doc]
+        return starts, stretches(x.docs.buf, starts, starts + length), x.docs.ids[doc], starts - x.docs.off[doc]
 
     def send_strings(table: pa.Table, got: pa.Table) -> pa.Table:
         if not table.num_rows:
@@ -229,7 +244,7 @@ def suffix_dedup(docs: DataFrame, length: int = 100, id_column: str = "doc_id",
             at, keys, ids, places = hashed(x, chosen)
             first, _ = B.first_of(keys, ids, places)
             first.sort()
-            second = Exact(_BYTE[x.docs.buf], 1).stretch(at[first], at[first] + length)
+            second = stretches(x.docs.buf, at[first], at[first] + length, 1)
             out += B.pack(block, [B.Entries(keys[first], ids[first], places[first], second, kind=HASHED)], parts)
         chosen = f[within(B.told(rows, INDEXED, "more"), x.content[f])]
         part = B.part_of(x.gram[chosen], parts)
