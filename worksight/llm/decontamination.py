@@ -5,9 +5,11 @@ item form a window; an item with fewer words is one window. Windows are hashed,
 broadcast set, and a hit counts after its words have been compared. A document is contaminated if at least a twentieth of its words
 lie inside hits.
 
-The set is broadcast only while it has at most ``MAX_BROADCAST`` windows, which is counted first; beyond that the lookup is a
-shuffled join. Null and empty texts and items have no words. Rows that share id and text share their result. Other columns pass
-through. Only DataFrame operations are used.
+The set is broadcast only while its windows and item lists take at most ``MAX_BROADCAST`` bytes, which is measured first. Beyond that
+hashes alone are shuffled: documents' windows whose hash is in the set are gathered by document, their words are cut from the text
+again, and those are compared with the set's. Null and empty texts and items have no words; a text without words is not contaminated.
+Rows that share id and text share their result. Other columns pass through, but for the added n_words, n_hit, items and
+contaminated, which replace columns of their names. Only DataFrame operations are used.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-N, MAX_BROADCAST = 13, 500_000
+N, MAX_BROADCAST = 13, 64 << 20
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 OTHER = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -35,11 +37,10 @@ def benchmark_windows(benchmark: DataFrame, n: int = N, item_column: str = "item
 def hits(docs: DataFrame, benchmark: DataFrame, n: int = N, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id") -> DataFrame:
     """A row for each document with hits: doc, version (hash of its text), n_hit, items (sorted as strings), spans (of words)."""
     windows = benchmark_windows(benchmark, n, item_column)
-    # at most n lengths, and the size that decides how to join
-    found = {r["length"]: r["count"] for r in windows.groupBy("length").count().collect()}
-    lengths, total = sorted(found) or [n], sum(found.values())
-    if total <= MAX_BROADCAST:
-        windows = F.broadcast(windows)
+    # at most n lengths, and the bytes that decide how to join
+    weight = F.expr("octet_length(array_join(window, ' ')) + 24 * size(window) + aggregate(items, 64, (a, i) -> a + octet_length(i) + 24)")
+    found = {r["length"]: r["bytes"] for r in windows.groupBy("length").agg(F.sum(weight).alias("bytes")).collect()}
+    lengths, small = sorted(found) or [n], sum(found.values()) <= MAX_BROADCAST
     texts = docs.select(F.col(id_column).alias("doc"), F.xxhash64(text_column).alias("version"), _words(text_column).alias("ws"))
     of_length = [F.expr(f"CASE WHEN size(ws) >= {k} THEN transform(sequence(1, size(ws) - {k - 1}), i -> xxhash64(slice(ws, i, {k}))) ELSE array() END") for k in lengths]
     # the outer form keeps the optimizer from repeating the splitting inside a filter on the arrays' sizes
@@ -51,7 +52,14 @@ def hits(docs: DataFrame, benchmark: DataFrame, n: int = N, id_column: str = "do
     # only the hash is a key of the join; the words are compared where it agrees
     words = lambda ws: f"concat(array_join({ws}, ' '), ' ')"
     same = (asked["hash"] == windows["hash"]) & F.expr(f"abs(n - length) < 1 AND instr({words('slice(ws, at + 1, n)')}, {words('window')}) = 1")
-    found_rows = asked.join(windows, same).select("doc", "version", F.struct(F.col("at").alias("start"), (F.col("at") + F.col("n")).alias("end")).alias("span"), "items")
+    if not small:  # only hashes travel; words are cut again from the texts that have some
+        keys = windows.select("hash", F.col("length").alias("n")).distinct()
+        near = asked.drop("ws").join(keys, ["hash", "n"]).groupBy("doc", "version").agg(F.collect_set(F.struct("at", "n", "hash")).alias("places"))
+        near = near.select(F.col("doc").alias("d"), F.col("version").alias("v"), "places")
+        again = texts.join(near, texts["doc"].eqNullSafe(near["d"]) & (texts["version"] == near["v"])).drop("d", "v").dropDuplicates(["doc", "version"])
+        asked = again.select("doc", "version", "ws", F.explode("places").alias("p")).select("doc", "version", "p.*", F.expr("slice(ws, p.at + 1, p.n)").alias("own"))
+        same = (asked["hash"] == windows["hash"]) & (asked["n"] == windows["length"]) & (asked["own"] == windows["window"])
+    found_rows = asked.join(F.broadcast(windows) if small else windows, same).select("doc", "version", F.struct(F.col("at").alias("start"), (F.col("at") + F.col("n")).alias("end")).alias("span"), "items")
     per_doc = found_rows.groupBy("doc", "version").agg(F.array_sort(F.collect_set("span")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
     # spans in order of start: each adds what lies beyond the furthest end so far
     covered = "aggregate(spans, struct(0 AS n, 0 AS far), (a, s) -> struct(a.n + greatest(s.end - greatest(s.start, a.far), 0) AS n, greatest(a.far, s.end) AS far)).n"
@@ -71,14 +79,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = N, share: int
     contaminated = (n_hit > 0) & (F.lit(share) * n_hit >= F.col("__n_words"))
     if remove == "documents":
         return out.filter(~contaminated).select(*docs.columns)
-    out = out.withColumns({"n_words": F.col("__n_words"), "n_hit": n_hit, "items": F.coalesce("__items", F.array().cast("array<string>")), "spans": F.col("__spans"), "contaminated": contaminated}).drop("__n_words", "__n_hit", "__items", "__spans")
+    out = out.withColumns({"n_words": F.col("__n_words"), "n_hit": n_hit, "items": F.coalesce("__items", F.array().cast("array<string>")), "contaminated": contaminated}).drop("__n_words", "__n_hit", "__items")
     if remove == "spans":
         words = F.expr(r"regexp_extract_all(__text, r'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+', 0)")
         gaps = F.expr(r"split(__text, r'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+', -1)")
-        out = out.withColumn("__text", F.col(text_column)).withColumn("__words", F.when(F.size("spans") > 0, words)).withColumn("__gaps", F.when(F.size("spans") > 0, gaps))
-        kept = F.expr("array_join(transform(__gaps, (g, i) -> g || CASE WHEN i < size(__words) AND NOT exists(spans, s -> s.start <= i AND i < s.end) THEN __words[least(i, size(__words) - 1)] ELSE '' END), '')")
-        out = out.withColumn(text_column, F.when(F.size("spans") > 0, kept).otherwise(F.col(text_column))).drop("__text", "__words", "__gaps")
-    return out.drop("spans")
+        out = out.withColumn("__text", F.col(text_column)).withColumn("__words", F.when(F.size("__spans") > 0, words)).withColumn("__gaps", F.when(F.size("__spans") > 0, gaps))
+        kept = F.expr("array_join(transform(__gaps, (g, i) -> g || CASE WHEN i < size(__words) AND NOT exists(__spans, s -> s.start <= i AND i < s.end) THEN __words[least(i, size(__words) - 1)] ELSE '' END), '')")
+        out = out.withColumn(text_column, F.when(F.size("__spans") > 0, kept).otherwise(F.col(text_column))).drop("__text", "__words", "__gaps")
+    return out.drop("__spans")
 
 
 def op9_decontamination(spark, sf_dir: str) -> DataFrame:

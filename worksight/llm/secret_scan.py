@@ -3,7 +3,11 @@
 Every version of a text is a blob, addressed by the SHA-256 of its content. The ledger records which (blob, rule version) pairs have
 been scanned and what was found; only pairs that it lacks are scanned, once for each content however many paths hold it, and
 findings are joined back to all paths. A run writes its findings first and then its scanned pairs; readers count findings only of
-runs whose pairs are there, so a run that was cut off leaves no trace.
+runs whose pairs are there, so a run that was cut off leaves no trace. Once there is a ledger, addresses alone are compared with it,
+texts that it has are never shuffled, and only findings of this run's contents are grouped. ``compact`` makes one run of many.
+
+The empty table scans nothing and gives no rows. Rows that repeat get a row each; equal spans count once; long texts are one row each.
+Columns other than id and text are left out.
 
 Null texts count as empty. Rows may share an id; each row gets the findings of its own content. Offsets are code points, ends
 exclusive. Only DataFrame operations are used.
@@ -11,6 +15,7 @@ exclusive. Only DataFrame operations are used.
 
 from __future__ import annotations
 
+import json
 import os
 import uuid
 
@@ -18,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from worksight.llm.blocks import shared_dir
+from worksight.llm.blocks import own_folder
 
 RULE_VERSION = "secrets-1"
 #: kind, pattern, group whose length counts, least length; in the order that breaks ties.
@@ -70,13 +75,36 @@ class BlobLedger:
         return self.spark.read.schema(schema).parquet(*at) if at else self.spark.createDataFrame([], schema)
 
     def _runs(self) -> list[str]:
+        """Complete runs that no complete run replaces."""
         jvm = self.spark._jvm
         path = jvm.org.apache.hadoop.fs.Path(self.path)
         fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
         if not fs.exists(path):
             return []
         names = [s.getPath().getName() for s in fs.listStatus(path)]
-        return sorted(n for n in names if fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}/scanned/_SUCCESS")))
+        done = {n for n in names if fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}/scanned/_SUCCESS"))}
+        gone: set[str] = set()
+        for n in done:
+            at = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}/replaces")
+            if fs.exists(at):
+                stream = fs.open(at)
+                gone |= set(json.loads(jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")))
+                stream.close()
+        return sorted(done - gone)
+
+    def compact(self) -> str | None:
+        """Writes all runs as one that replaces them; a compaction that was cut off changes nothing. Old folders stay for their readers."""
+        runs = self._runs()
+        if len(runs) < 2:
+            return None
+        run = os.path.join(self.path, uuid.uuid4().hex)
+        self._read("findings", self.FINDINGS + ", rule_version string").write.parquet(f"{run}/findings")
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{run}/replaces")
+        stream = at.getFileSystem(self.spark._jsc.hadoopConfiguration()).create(at, False)
+        stream.write(bytearray(json.dumps(runs), "utf-8"))
+        stream.close()
+        self.scanned().write.parquet(f"{run}/scanned")
+        return run
 
     def scanned(self) -> DataFrame:
         return self._read("scanned", self.SCANNED)
@@ -88,12 +116,15 @@ class BlobLedger:
     def update(self, docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", rule_version: str = RULE_VERSION) -> None:
         """Scans the contents of docs that the ledger lacks under this rule version."""
         texts = docs.select(F.coalesce(F.col(text_column), F.lit("")).alias("text")).withColumn("blob", F.sha2("text", 256))
-        unseen = texts.join(self.scanned().filter(F.col("rule_version") == rule_version), "blob", "left_anti")
-        to_scan = unseen.dropDuplicates(["blob"])  # one row of each content, whatever ids it stands under
+        if self._runs():
+            done = self.scanned().filter(F.col("rule_version") == rule_version)
+            unseen = texts.select("blob").distinct().join(done, "blob", "left_anti").select("blob")
+            texts = texts.join(unseen, "blob", "left_semi")
+        to_scan = texts.dropDuplicates(["blob"])  # one row of each content, whatever ids it stands under
         run = os.path.join(self.path, uuid.uuid4().hex)
         version = F.lit(rule_version).alias("rule_version")
         findings_of(to_scan.select("blob", "text")).select("*", version).write.parquet(f"{run}/findings")
-        unseen.select("blob").distinct().select("blob", version).write.parquet(f"{run}/scanned")
+        texts.select("blob").distinct().select("blob", version).write.parquet(f"{run}/scanned")
 
 
 def _listed(spans: Column) -> Column:
@@ -103,7 +134,9 @@ def _listed(spans: Column) -> Column:
 def scan_secrets(docs: DataFrame, ledger: BlobLedger, id_column: str = "doc_id", text_column: str = "text", rule_version: str = RULE_VERSION) -> DataFrame:
     """A row for each row of docs: its id, blob and findings (array of start, rank, kind, end, in order)."""
     ledger.update(docs, id_column, text_column, rule_version)
-    by_blob = ledger.findings(rule_version).groupBy("blob").agg(F.array_sort(F.collect_set(F.struct("start", "rank", "kind", "end"))).alias("findings"))
+    blobs = docs.select(F.sha2(F.coalesce(F.col(text_column), F.lit("")), 256).alias("blob")).distinct()
+    found = ledger.findings(rule_version).join(blobs, "blob", "left_semi")
+    by_blob = found.groupBy("blob").agg(F.array_sort(F.collect_set(F.struct("start", "rank", "kind", "end"))).alias("findings"))
     paths = docs.select(F.col(id_column), F.sha2(F.coalesce(F.col(text_column), F.lit("")), 256).alias("blob"))
     none = F.array().cast("array<struct<start:bigint,rank:int,kind:string,end:bigint>>")
     return paths.join(by_blob, "blob", "left").withColumn("findings", F.coalesce("findings", none))
@@ -111,7 +144,7 @@ def scan_secrets(docs: DataFrame, ledger: BlobLedger, id_column: str = "doc_id",
 
 def op3_secret_scan(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    ledger = BlobLedger(spark, os.path.join(shared_dir(spark), f"ledger-{uuid.uuid4().hex}"))
+    ledger = BlobLedger(spark, own_folder(spark, "ledger"))
     out = scan_secrets(docs, ledger)
     n = lambda kind: F.size(F.filter("findings", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = F.filter("findings", lambda s: s["kind"].isin(*BASE))
