@@ -8,7 +8,7 @@ instead of log scores get the log probability of that rank under Zipf's law.
 No piece holds a marker after another character, so a text falls into chunks (markers and the word after them, or a line feed or
 tab where no piece has one) that are segmented on their own; equal chunks of a batch are segmented once, and all chunks of a batch
 advance together. Decoding joins pieces, turns markers into spaces, byte pieces into bytes and drops the first space, which gives
-the text back exactly.
+the text back exactly, but for the marker's own character (U+2581), which comes back as a space.
 
 Null and empty texts have no pieces (null decodes to null). Other columns pass through; rows are independent of each other.
 """
@@ -21,9 +21,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from worksight.llm.hashing import stretches
+
+#: Segmentations that a worker remembers.
+KEPT = 500_000
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁".encode()
 _BYTE_PIECE, _UNKNOWN, _CONTROL = 6, 2, 3
@@ -137,6 +142,8 @@ class Codec:
         have = set(b"".join(self.pieces[i] for i in plain))
         self.alone = np.array([b < 128 and b not in have for b in range(256)])
         out = [bytes([int(p[1:-1], 16)]) if t == _BYTE_PIECE else b"" if t == _CONTROL else p.replace(MARK, b" ") for p, _, t in pieces]
+        self.kept = np.empty(0, [("hash", np.uint64), ("second", np.uint64), ("place", np.int64), ("size", np.int64)])
+        self.kept_ids = np.zeros(0, np.int64)
         self.out_bytes = np.frombuffer(b"".join(out), np.uint8)
         self.out_size = np.array([len(x) for x in out])
         self.out_start = np.cumsum(self.out_size) - self.out_size
@@ -204,48 +211,58 @@ class Codec:
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and their number in each."""
-        known: dict[bytes, int] = {}
-        uses: list[int] = []
-        per_text = []
-        lone = [bytes([b]) for b in np.flatnonzero(self.alone)]
-        for text in texts:
-            n = len(uses)
-            if text:
-                data = (b" " + text.encode("utf-8", "replace")).replace(b" ", MARK)
-                for part in self._apart(data, lone):
-                    uses.extend(known.setdefault(c, len(known)) for c in self._chunks(part))
-            per_text.append(len(uses) - n)
-        ids, sizes = self.segment(list(known))
-        use = np.array(uses, np.int64)
-        n = sizes[use] if len(use) else np.zeros(0, np.int64)
-        starts = (np.cumsum(sizes) - sizes)[use] if len(use) else n
-        out = ids[np.repeat(starts - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))] if len(use) else np.zeros(0, np.int64)
-        sums = np.concatenate([[0], np.cumsum(n)])
-        ends = np.cumsum(np.array(per_text, np.int64))
-        return out.astype(np.int32), np.diff(sums[np.concatenate([[0], ends])])
-
-    @staticmethod
-    def _apart(data: bytes, lone: list[bytes]) -> list[bytes]:
-        parts = [data]
-        for b in lone:
-            if b in data:
-                parts = [y for x in parts for piece in x.split(b) for y in (piece, b)][:-1] if len(parts) == 1 else [y for x in parts for y in ([x] if b not in x else [z for piece in x.split(b) for z in (piece, b)][:-1])]
-        return [x for x in parts if x]
-
-    @staticmethod
-    def _chunks(part: bytes) -> list[bytes]:
-        """Cuts before each run of markers."""
-        words = part.split(MARK)
-        out = [words[0]] if words[0] else []
-        pending = 0
-        for w in words[1:]:
-            pending += 1
-            if w:
-                out.append(MARK * pending + w if pending > 1 else MARK + w)
-                pending = 0
-        if pending:
-            out.append(MARK * pending)
-        return out
+        each = [b" " + t.encode("utf-8", "replace").replace(MARK, b" ") if t else b"" for t in texts]
+        data, off = b"".join(each), np.concatenate([[0], np.cumsum([len(x) for x in each])])
+        if len(self.kept) > KEPT:
+            self.kept, self.kept_ids = self.kept[:0], self.kept_ids[:0]
+        if not data:
+            return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
+        start, end = self._chunks(np.frombuffer(data, np.uint8), off)
+        of, at, sizes = self._segmented(data, start, end)
+        n = sizes[of]
+        out = self.kept_ids[np.repeat(at[of] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+        return out.astype(np.int32), np.diff(np.concatenate([[0], np.cumsum(n)])[np.searchsorted(start, off)])
+
+    def _chunks(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Cuts at texts, before each run of blanks and around bytes that stand alone; no piece crosses a cut."""
+        blank = buf == 0x20
+        alone = self.alone[buf] & ~blank
+        cut = blank.copy()
+        cut[1:] &= ~blank[:-1]
+        cut |= alone
+        cut[1:] |= alone[:-1]
+        cut[off[:-1][np.diff(off) > 0]] = True
+        start = np.flatnonzero(cut)
+        return start, np.append(start[1:], len(buf))
+
+    def _segmented(self, data: bytes, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each chunk the distinct one that it equals, and of those where in kept_ids their ids stand and how many they are.
+
+        Chunks are told apart by two hashes; segmentations stay from batch to batch until there are more than KEPT.
+        """
+        buf = np.frombuffer(data, np.uint8)
+        first_hash, second_hash = stretches(buf, start, end), stretches(buf, start, end, 1)
+        hashes, first, of = np.unique(first_hash, return_index=True, return_inverse=True)
+        if (second_hash != second_hash[first][of]).any():
+            pairs = np.empty(len(start), [("a", np.uint64), ("b", np.uint64)])
+            pairs["a"], pairs["b"] = first_hash, second_hash
+            _, first, of = np.unique(pairs, return_index=True, return_inverse=True)
+            hashes, self.kept = first_hash[first], self.kept[:0]  # such hashes can't be kept by one alone
+        second_hash = second_hash[first]
+        at = np.minimum(np.searchsorted(self.kept["hash"], hashes), max(0, len(self.kept) - 1))
+        have = (self.kept["hash"][at] == hashes) & (self.kept["second"][at] == second_hash) if len(self.kept) else np.zeros(len(hashes), bool)
+        new = np.flatnonzero(~have)
+        ids, sizes = self.segment([data[a:b].replace(b" ", MARK) for a, b in zip(start[first[new]].tolist(), end[first[new]].tolist())])
+        place, size = np.zeros(len(hashes), np.int64), np.zeros(len(hashes), np.int64)
+        place[have], size[have] = self.kept["place"][at[have]], self.kept["size"][at[have]]
+        place[new], size[new] = len(self.kept_ids) + np.cumsum(sizes) - sizes, sizes
+        self.kept_ids = np.concatenate([self.kept_ids, ids])
+        fresh = np.empty(len(new), self.kept.dtype)
+        fresh["hash"], fresh["second"], fresh["place"], fresh["size"] = hashes[new], second_hash[new], place[new], sizes
+        kept = np.concatenate([self.kept, fresh])
+        _, one = np.unique(kept["hash"], return_index=True)
+        self.kept = kept[one]
+        return of, place, size
 
     def decode(self, ids: np.ndarray, sizes: np.ndarray) -> list[str]:
         n = self.out_size[ids]
@@ -276,11 +293,9 @@ def encode(docs: DataFrame, model_path: str = MODEL, text_column: str = "text",
         for whole in batches:
             begin = 0
             while begin < whole.num_rows:  # about 2 MB of text at a time, so that long documents don't add up
-                n = size = 0
                 column = whole.column(whole.schema.get_field_index(text_column))
-                while begin + n < whole.num_rows and (n == 0 or size < 2 << 20):
-                    size += len(column[begin + n].as_buffer() or b"") if column[begin + n].is_valid else 0
-                    n += 1
+                sizes = np.cumsum(pc.fill_null(pc.binary_length(column.slice(begin)), 0).to_numpy(zero_copy_only=False))
+                n = 1 + int(np.searchsorted(sizes[:-1], 2 << 20))
                 batch = whole.slice(begin, n)
                 begin += n
                 texts = batch.column(batch.schema.get_field_index(text_column)).to_pylist()
