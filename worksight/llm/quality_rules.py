@@ -13,7 +13,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 GAP = r"[\x20\x09-\x0D]+"
-BOILERPLATE = r"(?i)(all rights reserved|privacy policy|terms of (use|service)|cookie policy|accept cookies|enable javascript|lorem ipsum|click here|sign up now|subscribe to our)"
+#: Phrases of notices in the corpus' four languages; letters with accents stand in both cases, as engines differ on them.
+BOILERPLATE = "(?i)(" + "|".join((
+    "all rights reserved", "privacy policy", "terms of (use|service)", "cookie policy", "accept cookies", "enable javascript", "lorem ipsum", "click here", "sign up now", "subscribe to our",
+    "alle rechte vorbehalten", "datenschutzerkl[äÄ]rung", "nutzungsbedingungen", "cookies akzeptieren", "hier klicken", "newsletter abonnieren",
+    "tous droits r[éÉ]serv[éÉ]s", "politique de confidentialit[éÉ]", "conditions d.utilisation", "accepter les cookies", "cliquez ici",
+    "todos los derechos reservados", "pol[íÍ]tica de privacidad", "t[éÉ]rminos de uso", "aceptar (las )?cookies", "haga clic aqu[íÍ]",
+)) + ")"
 SYMBOLS, SEPARATORS = "#*$%&|<>", "|»›•·"
 #: A repeat window's words, least words, and the shares in hundredths that reject.
 WINDOW, MIN_WORDS, MAX_REPEAT, MAX_LOST = 8, 20, 30, 50
@@ -55,13 +61,14 @@ def quality_rules(docs: DataFrame, text_column: str = "text") -> DataFrame:
         "n_words": F.size("__words").cast("long"),
         "word_chars": F.length(F.translate(t, " \t\n\x0b\x0c\r", "")).cast("long"),
         "n_symbols": (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long"),
-        "__full": F.expr(r"filter(__lines, l -> l rlike r'[^\x20\x09-\x0D]')"),
+        # one pass over the lines; every verdict below reads it
+        "__judged": F.expr(f"transform(__lines, l -> CASE WHEN l rlike r'[^\\x20\\x09-\\x0D]' THEN struct(l AS l, true AS full, {_fails_cheap_first('l', _word_count('l'))} AS fails) ELSE struct(l AS l, false AS full, false AS fails) END)"),
         "__windows": F.expr(f"CASE WHEN size(__words) >= {w} THEN transform(sequence(1, size(__words) - {w - 1}), i -> xxhash64(slice(__words, i, {w}))) ELSE array() END"),
     })
+    out = out.withColumn("__full", F.expr("transform(filter(__judged, x -> x.full), x -> x.l)"))
     out = out.withColumns({
         "n_dup_lines": (F.size("__full") - F.size(F.array_distinct("__full"))).cast("long"),
         "__sorted": F.expr("CASE WHEN size(array_distinct(__windows)) < size(__windows) THEN array_sort(transform(__windows, (h, i) -> struct(h AS h, i AS i))) END"),
-        "__judged": F.expr(f"transform(__full, l -> struct(l AS l, {_fails_cheap_first('l', _word_count('l'))} AS fails))"),
     }).drop("__words", "__windows")
     # places of windows found twice or more, in order
     out = out.withColumn("__places", F.expr("""CASE WHEN __sorted IS NOT NULL THEN array_sort(transform(
@@ -71,16 +78,15 @@ def quality_rules(docs: DataFrame, text_column: str = "text") -> DataFrame:
     out = out.withColumn("n_repeat_words", F.expr(f"CAST(CASE WHEN __places IS NULL THEN 0 ELSE {covered} END AS BIGINT)"))
     out = out.withColumn("base_failed", F.expr(f"n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT} * n_words"))
     out = out.withColumns({
-        "__all": F.expr("aggregate(__judged, 0L, (a, x) -> a + length(x.l))"),
+        "__all": F.expr("aggregate(__judged, 0L, (a, x) -> a + CASE WHEN x.full THEN length(x.l) ELSE 0 END)"),
         "__lost": F.expr("aggregate(__judged, 0L, (a, x) -> a + CASE WHEN x.fails THEN length(x.l) ELSE 0 END)"),
-        "__failed": F.expr("transform(filter(__judged, x -> x.fails), x -> x.l)"),
     })
-    clean = F.expr("CASE WHEN size(__failed) = 0 THEN __text ELSE array_join(array_except_all, '\n') END".replace("array_except_all", f"filter(__lines, l -> NOT (l rlike r'[^\\x20\\x09-\\x0D]' AND {_fails_cheap_first('l', _word_count('l'))}))"))
+    clean = F.expr("CASE WHEN __lost = 0 THEN __text ELSE array_join(transform(filter(__judged, x -> NOT x.fails), x -> x.l), '\n') END")
     # The optimizer moves a filter below deterministic columns and repeats what it tests inside every lambda; the partition's number,
     # which changes nothing here, keeps filters on the verdict above.
     verdict = F.expr(f"NOT base_failed AND 100 * __lost <= {MAX_LOST} * __all") & (F.spark_partition_id() >= 0)
     out = out.withColumns({"kept": verdict, "clean_text": F.when(F.col(text_column).isNotNull(), clean)})
-    return out.drop(t, "__lines", "__full", "__judged", "__sorted", "__places", "__all", "__lost", "__failed")
+    return out.drop(t, "__lines", "__full", "__judged", "__sorted", "__places", "__all", "__lost")
 
 
 def op4_quality_rules(spark, sf_dir: str) -> DataFrame:
