@@ -97,3 +97,24 @@ def scrub(c: Column) -> Column:
     gaps = F.split(c, r"https?://\S+", -1)
     mask = lambda x: F.regexp_replace(F.regexp_replace(F.regexp_replace(x, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[e-mail removed]"), r"\+?\d{0,2} ?\(\d{3}\) ?\d{3}-\d{4}", "[number removed]"), r"(?<!\d)(?:\+?91[- ]?)?[6-9]\d{9}(?!\d)", "[number removed]")
     return F.array_join(F.transform(gaps, lambda x, i: F.concat(mask(x), F.coalesce(F.get(urls, i), F.lit("")))), "")
+
+
+def publishable(c: Column) -> Column:
+    """Text without e-mail addresses, mobile and landline numbers, by the patterns that must not be left; addresses of pages stay.
+
+    A number next to a path, an id, a hash or more digits is no telephone number.
+    """
+    urls, gaps = F.regexp_extract_all(c, F.lit(r"https?://\S+"), F.lit(0)), F.split(c, r"https?://\S+", -1)
+
+    def masked(x: Column) -> Column:
+        for name, pattern in LEAKS:
+            x = F.regexp_replace(x, pattern, "[e-mail removed]" if name == "n_mail" else "[phone removed]")
+        return x
+
+    return F.array_join(F.transform(gaps, lambda x, i: F.concat(masked(x), F.coalesce(F.get(urls, i), F.lit("")))), "")
+
+
+def leaked(c: Column) -> Column:
+    """Whether text has any of them outside addresses of pages."""
+    plain = F.regexp_replace(c, r"https?://\S+", " ")
+    return F.coalesce(plain.rlike("|".join(p for _, p in LEAKS)), F.lit(False))
