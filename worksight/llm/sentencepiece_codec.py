@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from worksight.llm.hashing import stretches
 
 #: Segmentations that a worker remembers.
-KEPT = 500_000
+KEPT = 1_000_000
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁".encode()
 _BYTE_PIECE, _UNKNOWN, _CONTROL = 6, 2, 3
@@ -91,7 +91,7 @@ class DoubleArray:
         n = 8 * len(children) + 4096
         used = bytearray(n)
         used[0] = 1
-        self.base, self.check, self.value = np.zeros(n, np.int64), np.full(n, -1, np.int64), np.full(n, -1, np.int64)
+        self.base, self.check, self.value = np.zeros(n, np.int32), np.full(n, -1, np.int32), np.full(n, -1, np.int32)
         place, queue, cursor, free = {0: 0}, [0], 1, 1
         for s in queue:
             self.value[place[s]] = value[s]
@@ -155,7 +155,7 @@ class Codec:
         order = np.argsort(-size, kind="stable")
         longest = int(size.max(initial=0))
         begin = np.cumsum(size) - size
-        text = np.frombuffer(b"".join(chunks) + b"\0", np.uint8).astype(np.int64)
+        text = np.frombuffer(b"".join(chunks) + b"\0", np.uint8).astype(np.int32)
         cell = begin + np.arange(n)  # a chunk of n bytes has n + 1 places
         total = int(size.sum()) + n
         best, piece, back = np.full(total, -np.inf), np.full(total, -1, np.int64), np.zeros(total, np.int64)
@@ -170,7 +170,7 @@ class Codec:
             first = text[begin[live] + i]
             wide = 1 + (first >= 0xC0) + (first >= 0xE0) + (first >= 0xF0)
             single = np.zeros(len(live), bool)
-            at, state, which = live, np.zeros(len(live), np.int64), np.arange(len(live))
+            at, state, which = live, np.zeros(len(live), np.int32), np.arange(len(live))
             k = i
             while len(at) and k < longest:
                 state, ok = self.trie.step(state, text[begin[at] + k])
@@ -238,17 +238,11 @@ class Codec:
     def _segmented(self, data: bytes, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each chunk the distinct one that it equals, and of those where in kept_ids their ids stand and how many they are.
 
-        Chunks are told apart by two hashes; segmentations stay from batch to batch until there are more than KEPT.
+        Chunks of a batch are told apart by a hash of 64 bits, those kept from earlier batches by two; they stay until there are more than KEPT.
         """
         buf = np.frombuffer(data, np.uint8)
-        first_hash, second_hash = stretches(buf, start, end), stretches(buf, start, end, 1)
-        hashes, first, of = np.unique(first_hash, return_index=True, return_inverse=True)
-        if (second_hash != second_hash[first][of]).any():
-            pairs = np.empty(len(start), [("a", np.uint64), ("b", np.uint64)])
-            pairs["a"], pairs["b"] = first_hash, second_hash
-            _, first, of = np.unique(pairs, return_index=True, return_inverse=True)
-            hashes, self.kept = first_hash[first], self.kept[:0]  # such hashes can't be kept by one alone
-        second_hash = second_hash[first]
+        hashes, first, of = np.unique(stretches(buf, start, end), return_index=True, return_inverse=True)
+        second_hash = stretches(buf, start[first], end[first], 1)
         at = np.minimum(np.searchsorted(self.kept["hash"], hashes), max(0, len(self.kept) - 1))
         have = (self.kept["hash"][at] == hashes) & (self.kept["second"][at] == second_hash) if len(self.kept) else np.zeros(len(hashes), bool)
         new = np.flatnonzero(~have)

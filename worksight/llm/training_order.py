@@ -69,8 +69,23 @@ def _encoder(data: bytes):
     return kept[key]
 
 
+def _squeezed(ids: np.ndarray) -> bytes:
+    """Compressed elements, byte by significance, as the upper bytes of ids are alike; about three fifths of their size."""
+    if not len(ids):
+        return b""
+    planes = np.ascontiguousarray(ids).view(np.uint8).reshape(len(ids), -1).T.tobytes()
+    return pa.Codec("zstd", compression_level=1).compress(planes, asbytes=True)
+
+
+def _expanded(data: bytes, n: int, width: int) -> bytes:
+    if not n:
+        return b""
+    planes = pa.Codec("zstd").decompress(data, n * width, asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(width, n).T).tobytes()
+
+
 def _packed(docs: DataFrame, id_column: str, text_column: str, token_ids: str | None, encoder: bytes | None, model: bytes | None, end_id: int) -> DataFrame:
-    """(id, n, tokens): ids of each row as little-endian unsigned elements, and how many there are."""
+    """(id, n, tokens): ids of each row as compressed little-endian unsigned elements, and how many there are."""
     kind = f"<u{2 if end_id < 1 << 16 else 4}"
 
     def listed(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -102,10 +117,9 @@ def _packed(docs: DataFrame, id_column: str, text_column: str, token_ids: str |
             for begin, end in zip(cuts := np.append(runs(place), len(place)), cuts[1:]):
                 b = whole.slice(begin, end - begin)
                 ids, sizes = tokens_of(b.column(1))
-                data = np.ascontiguousarray(ids.astype(kind)).view(np.uint8)
-                off = np.concatenate([[0], np.cumsum(sizes * int(kind[2]))])
-                tokens = pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(off), pa.py_buffer(data)])
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes), tokens.cast(pa.binary())], names=["id", "n", "tokens"])
+                ids, ends = ids.astype(kind), np.cumsum(sizes)
+                tokens = pa.array([_squeezed(ids[a:z]) for a, z in zip(ends - sizes, ends)], pa.binary())
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes), tokens], names=["id", "n", "tokens"])
 
     id_kind = docs.schema[id_column].dataType.simpleString()
     return docs.select(F.col(id_column).alias("id"), F.col(token_ids or text_column).alias("x")).mapInArrow(f, f"id {id_kind}, n long, tokens binary")
@@ -168,11 +182,12 @@ def training_order(
         for whole in batches:
             for begin in range(0, whole.num_rows, 256):
                 b = whole.slice(begin, 256)
-                n = b.column(1).to_numpy() // length + 1
+                sizes = b.column(1).to_numpy()
+                n = sizes // length + 1
                 row = np.repeat(np.arange(len(n)), n)
                 piece = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
                 slot = feistel(b.column(3).to_numpy()[row] + piece, total, key)
-                bodies = b.column(2).to_pylist()
+                bodies = [_expanded(x, k, width) for x, k in zip(b.column(2).to_pylist(), sizes.tolist())]
                 cut = length * width
                 body = pa.array([bodies[r][p * cut : (p + 1) * cut] for r, p in zip(row, piece)], pa.binary())
                 shard = slot // per_shard
