@@ -23,25 +23,59 @@ def first_of_key(events: DataFrame, time: str, late: str, *keys: str) -> DataFra
     return events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).dropDuplicatesWithinWatermark(list(keys))
 
 
-def admit(events: DataFrame, client: str, time: str, cap: int, seconds: float) -> DataFrame:
-    """Sliding-window limiter: an event is admitted if fewer than cap admitted ones lie within the window before it.
+class _Window:
+    """Times of a client's admitted events that are still within the window; at most cap of them."""
 
-    Rejected events are not counted, so admission depends on earlier admissions of the same client. State is at most cap times.
+    def __init__(self, cap: int, seconds: float, times: list[float] | None = None):
+        self.cap, self.seconds, self.times = cap, seconds, list(times or [])
+
+    def admit(self, t: float) -> bool:
+        self.times = [x for x in self.times if t - x <= self.seconds]
+        if len(self.times) >= self.cap:
+            return False
+        self.times.append(t)
+        return True
+
+
+def _seconds(times: pd.Series) -> list[float]:
+    return (pd.to_datetime(times).astype("datetime64[us]").astype("int64") / 1e6).tolist()
+
+
+def admit_all(events: DataFrame, client: str, time: str, cap: int, seconds: float, tie: str) -> DataFrame:
+    """events with admitted, exactly: an event is admitted if fewer than cap admitted ones lie within the window before it.
+
+    Rejected events don't count, so admission depends on earlier admissions and no window function expresses it. Clients are dealt by hash,
+    sorted by time and tie in Spark, and read as a stream: a task holds one client's window, not its events.
     """
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in events.schema.fields) + ", admitted boolean"
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in events.schema.fields]
 
-    def f(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        recent = list(state.get[0]) if state.exists else []
+    def f(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, window = None, None
         for b in batches:
-            b = b.sort_values(time, kind="stable")
             out = []
-            for t in b[time].astype("int64") / 1e9 if b[time].dtype.kind != "M" else b[time].astype("datetime64[ns]").astype("int64") / 1e9:
-                recent = [x for x in recent if x > t - seconds]
-                out.append(len(recent) < cap)
-                if out[-1]:
-                    recent.append(t)
-            b["admitted"] = out
-            yield b
-        state.update((recent,))
-
-    return events.groupBy(client).applyInPandasWithState(f, schema, "recent array<double>", "append", "NoTimeout")
+            for c, t in zip(b[client], _seconds(b[time])):
+                if window is None or c != now:
+                    now, window = c, _Window(cap, seconds)
+                out.append(window.admit(t))
+            yield b.assign(admitted=out)
+
+    return events.repartition(client).sortWithinPartitions(client, time, tie).mapInPandas(f, ", ".join([*kinds, "admitted boolean"]))
+
+
+def admit(events: DataFrame, client: str, time: str, cap: int, seconds: float, idle: str = "10 minutes") -> DataFrame:
+    """The same on a stream, in the order of arrival by micro-batch and of time within one; the state of clients idle for so long goes."""
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in events.schema.fields) + ", admitted boolean"
+    wait = int(pd.Timedelta(idle).total_seconds() * 1000)
+
+    def f(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        own = pd.concat(list(batches)).sort_values(time, kind="stable")  # one client's events of one micro-batch
+        window = _Window(cap, seconds, state.get[0] if state.exists else None)
+        own["admitted"] = [window.admit(t) for t in _seconds(own[time])]
+        state.update((window.times,))
+        state.setTimeoutDuration(wait)
+        yield own
+
+    return events.groupBy(client).applyInPandasWithState(f, schema, "recent array<double>", "append", "ProcessingTimeTimeout")
