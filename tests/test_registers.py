@@ -47,3 +47,13 @@ def test_department_and_empty_file(spark, tmp_path):
     cells = S.read_cells(spark, put(tmp_path / "a.csv", head + "151-22-000004,x,1,na,2,01-02-2015,10,1,9\n151-22-000005,x,1\n"))
     assert [(r.job_number, r.nett, r.wo_date) for r in S.department(cells).collect()] == [("151-22-000004", Decimal("9.00"), date(2015, 2, 1))]
     assert S.public_view(S.read_cells(spark, put(tmp_path / "e.csv", ""))).count() == 0
+
+
+def test_columns_past_the_first_width_are_read(spark, tmp_path):
+    from worksight.sources.registers import read_cells, with_header
+
+    head = [f"h{i}" for i in range(69)] + ["Job Number", "last, one"]
+    rows = [",".join(f'"{c}"' for c in head), ",".join([*(f"{i}" for i in range(69)), "151-20-000001", '"x, y"'])]
+    (tmp_path / "wide.csv").write_text("preamble\n" + "\n".join(rows) + "\n")
+    got = with_header(read_cells(spark, str(tmp_path / "wide.csv")), "Job Number").collect()
+    assert len(got) == 1 and got[0].cells[69:71] == ["151-20-000001", "x, y"] and got[0].header[70] == "last, one"

@@ -15,12 +15,23 @@ from pyspark.sql.window import Window as W
 
 from worksight.functions import parsing as P
 
+#: Cells that records are first read for; wider ones widen the reading.
 WIDTH = 64
 _QUOTED = r'"(?:[^"]|"")*"'
 
 
 def read_cells(spark: SparkSession, path: str | list[str], width: int = WIDTH) -> DataFrame:
-    """file, ord (place in the file), cells (array of text) and n_cells as counted in the raw record."""
+    """file, ord (place in the file), cells (array of text) and n_cells as counted in the raw record.
+
+    The widest record is looked for first; if it has more cells than width, all are read that wide, so no column is lost.
+    """
+    rows = _cells(spark, path, width)
+    # with its cells, as the reader counts them only in records that it parses whole
+    widest = (rows.agg(F.max(F.struct("n_cells", "cells"))["n_cells"].alias("n")).first()["n"]) or 0
+    return rows if widest <= width else _cells(spark, path, widest)
+
+
+def _cells(spark: SparkSession, path: str | list[str], width: int) -> DataFrame:
     schema = ", ".join(f"c{i} string" for i in range(width)) + ", raw string"
     reader = spark.read.schema(schema).option("multiLine", True).option("header", False).option("escape", '"').option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "raw")
     rows = reader.csv(path).select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"), F.array(*[f"c{i}" for i in range(width)]).alias("cells"), "raw")
