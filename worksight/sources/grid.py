@@ -28,7 +28,9 @@ def read_windows(spark: SparkSession, path: str | list[str]) -> DataFrame:
 def _reference(c: Column, name: str, digits: str = r"\d") -> tuple[Column, Column]:
     """Number and date after a label; either may be blank. A label isn't read out of a longer one that ends in it."""
     pattern = rf"(?<![A-Za-z]){name}\s*-\s*({digits}*)\s*/\s*(\d{{1,2}}-[A-Za-z]{{3}}-\d{{4}})?"
-    return F.nullif(F.regexp_extract(c, pattern, 1), F.lit("")), P.parse_date(F.regexp_extract(c, pattern, 2))
+    # the pattern leaves one layout, so the parser of all layouts, which swells the generated code, isn't needed
+    day = F.try_to_date(F.initcap(F.replace(F.regexp_extract(c, pattern, 2), F.lit("-"), F.lit(" "))), "d MMM yyyy")
+    return F.nullif(F.regexp_extract(c, pattern, 1), F.lit("")), F.when(F.year(day).between(P.FIRST_YEAR, P.LAST_YEAR), day)
 
 
 def grid_rows(windows: DataFrame) -> DataFrame:
