@@ -28,7 +28,8 @@ from worksight.llm import blocks as B
 from worksight.llm.hashing import CHUNK, SEEDS, Docs, U, cover, grams, mix, packed, runs, slide, stretches, within
 from worksight.llm.substring_dedup import strings
 
-GRAM, HOT, SHARD_BYTES = 24, 16, 3 << 20
+#: A shard is as large as an index that is built at once; a byte of it takes some 120 bytes of memory meanwhile. Equal strings share a shard at any size.
+GRAM, HOT, SHARD_BYTES = 24, 16, 1 << 20
 LATER, INDEXED, HASHED = 1, 2, 3
 
 
@@ -114,17 +115,18 @@ class RunIndex:
         inside = np.ones(n, bool)
         inside[ends] = False
         text[:n][inside] = data + np.uint8(1)  # UTF-8 has no bytes of 0xF8 and more, so 0 is free to end a content
-        self.left = np.repeat(ends, sizes + 1) - np.arange(n)
+        narrow = np.int32 if n < 1 << 31 else np.int64
+        self.left = (np.repeat(ends, sizes + 1) - np.arange(n)).astype(narrow)
         pack = np.zeros(n, np.uint64)
         for k in range(8):
             pack |= text[k : n + k].astype(np.uint64) << U(56 - 8 * k)
         cut = np.maximum(7 - self.left, 0).astype(np.uint64) * U(8)
         self.pack = np.where(self.left < 7, (pack >> cut) << cut, pack)
-        rank = np.unique(self.pack, return_inverse=True)[1].astype(np.int64)
+        rank = np.unique(self.pack, return_inverse=True)[1].astype(narrow)
         self.ranks, width = [(8, rank)], 8
         while rank.max(initial=0) < n - 1 and width <= int(sizes.max(initial=0)):
             ahead = np.minimum(np.arange(n) + width, n - 1)
-            rank = np.unique(rank * (n + 1) + np.where(self.left >= width, rank[ahead] + 1, 0), return_inverse=True)[1].astype(np.int64)
+            rank = np.unique(rank.astype(np.int64) * (n + 1) + np.where(self.left >= width, rank[ahead] + 1, 0), return_inverse=True)[1].astype(narrow)
             width *= 2
             self.ranks.append((width, rank))
         suffixes = np.argsort(rank, kind="stable")
