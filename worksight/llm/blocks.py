@@ -63,7 +63,10 @@ def own_folder(spark: SparkSession, name: str) -> str:
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Writes df to a table of its own in the shared folder and returns it as read from there."""
-    at = own_folder(df.sparkSession, name)
+    return written(df, own_folder(df.sparkSession, name))
+
+
+def written(df: DataFrame, at: str) -> DataFrame:
     df.write.parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
