@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from worksight.operators import scope as S
+from worksight.operators import work_slips as W
 from worksight.registry import Registry
 from worksight.sources import plans as L
 from worksight.tables import table
@@ -38,4 +39,36 @@ def archived_programme_rows(spark, d):
     return rows.select("file", "row", "ward", "description", "ecv", "plan_status", "base", "category")
 
 
+@R.query(
+    """WITH x AS (SELECT o_orderkey AS work, o_custkey % 90 + 20.25 AS q, floor(o_totalprice / 970) + 1003.04 AS rate, o_custkey % 90 * (CASE WHEN o_orderstatus = 'F' THEN 2 ELSE 0.5 END) + 11.75 AS e FROM orders),
+y AS (SELECT *, round(q * rate, 2) AS amount, round(e * rate, 2) AS actual FROM x)
+SELECT work, q::DOUBLE AS tender_qty, round(rate, 2) AS rate, amount AS tender_amount, e::DOUBLE AS executed_qty, actual AS actual_amount, CASE WHEN actual > amount THEN round(actual - amount, 2) END AS excess, CASE WHEN actual < amount THEN round(amount - actual, 2) END AS savings, 'sqm' AS unit FROM y WHERE abs(actual - amount) > 3 AND e < 20 * q"""
+)
+def statement_rows_of_lines(spark, d):
+    """Comparative statements of orders: their numbers are found again behind a number that belongs to none, though no column says what it is."""
+    q = F.col("o_custkey") % 90
+    x = table(spark, d, "orders").select("o_orderkey", (q + 20.25).alias("q"), (F.floor(F.col("o_totalprice") / 970) + 1003.04).cast("double").alias("rate"), (q * F.when(F.col("o_orderstatus") == "F", 2.0).otherwise(0.5) + 11.75).alias("e"))
+    x = x.withColumns({"amount": F.round(F.col("q") * F.col("rate"), 2), "actual": F.round(F.col("e") * F.col("rate"), 2)}).filter(F.abs(F.col("actual") - F.col("amount")) > 3)
+    shown = [F.format_string("%.2f", F.col(c)) for c in ("q", "rate", "amount", "e", "rate", "actual")] + [F.format_string("%.2f", F.abs(F.col("amount") - F.col("actual")))]
+    text = F.concat(F.lit("work of item\n"), F.concat_ws(" ", F.lit("Sq.m |"), F.lit("99999999"), *shown))
+    rows = W.statement_rows(x.select(F.col("o_orderkey").alias("file"), F.lit(1).alias("page"), text.alias("text")))
+    return rows.select(F.col("file").alias("work"), "tender_qty", F.round("rate", 2).alias("rate"), "tender_amount", "executed_qty", "actual_amount", "excess", "savings", "unit")
+
+
+@R.query(
+    """WITH items AS (SELECT o_custkey AS job, o_orderkey AS item, o_orderkey % 6 + 1.0 AS q, (100 + o_orderkey % 7 * 25)::DOUBLE AS rate FROM orders),
+pages AS (SELECT o_custkey AS job, o_orderkey AS page, o_orderkey % 50 AS n, [n * 25.0, (n + o_orderkey % 9) * 125.0, n * 125.0, (n % 5 + 1) * 100.0] AS v FROM orders),
+numbers AS (SELECT job, page, unnest(v)::DOUBLE AS x FROM pages),
+hits AS (SELECT i.job, i.item, a.page, a.x / rate AS t, b.x / rate AS e FROM items i JOIN numbers a ON a.job = i.job AND a.x > rate AND abs(a.x / rate - round(a.x / rate)) < 1e-6 JOIN numbers b ON b.job = a.job AND b.page = a.page AND b.x > rate AND abs(b.x / rate - round(b.x / rate)) < 1e-6 AND abs(a.x / rate - b.x / rate - q) < 1e-6 AND a.x / rate > q)
+SELECT job, item, page, t AS executed_qty, e AS excess_qty FROM hits QUALIFY row_number() OVER (PARTITION BY job, item ORDER BY page, t, e) = 1"""
+)
+def executed_by_multiples(spark, d):
+    """Amounts of a customer's pages that are whole multiples of an item's rate, the planned amount apart; the SQL compares all pairs of a page."""
+    orders, n = table(spark, d, "orders"), F.col("o_orderkey") % 50
+    items = orders.select(F.col("o_custkey").alias("job"), F.col("o_orderkey").alias("item"), (F.col("o_orderkey") % 6 + 1.0).alias("quantity"), (100 + F.col("o_orderkey") % 7 * 25).cast("double").alias("rate"))
+    numbers = [n * 25.0, (n + F.col("o_orderkey") % 9) * 125.0, n * 125.0, (n % 5 + 1) * 100.0]
+    pages = orders.select(F.col("o_custkey").alias("job"), F.lit("f").alias("file"), F.col("o_orderkey").alias("page"), F.concat_ws(" | ", *(F.format_string("%.2f", x) for x in numbers)).alias("text"))
+    return W.amount_multiples(items, pages).select("job", "item", "page", "executed_qty", "excess_qty")
+
+
 QUERIES, ORACLE_SQL = R.queries, R.sql
