@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from worksight.operators import quantities as Q
 from worksight.operators import scope as S
 from worksight.operators import work_slips as W
 from worksight.registry import Registry
@@ -71,4 +72,35 @@ def executed_by_multiples(spark, d):
     return W.amount_multiples(items, pages).select("job", "item", "page", "executed_qty", "excess_qty")
 
 
+#: A customer is a job with three planned items and three bills of a row each; quantities, a bill's gross and sheets' totals vary with its key.
+_JOBS = """WITH plan AS (SELECT c_custkey AS k, i, 100e0 + c_custkey % 50 + i AS q, 50e0 + 40 * i AS rate FROM customer {items}),
+billed AS (SELECT k, b, i, rate, q, (round(q * (0.3e0 + 0.1e0 * ((k + b + i) % 2)), 2) + 0.01e0 * b) * (CASE WHEN k % 7 = 0 AND b = 2 THEN 3 ELSE 1 END) AS x, CASE WHEN (k + i + b) % 3 = 0 THEN round(q * 0.95e0, 2) END AS to_date FROM plan {bills}),
+gross AS (SELECT k, b, sum(x * rate) * (CASE WHEN k % 5 = 0 AND b = 1 THEN 2.5e0 WHEN k % 7 = 0 AND b = 2 THEN 1e0 / 3 ELSE 1e0 END) AS gross FROM billed GROUP BY k, b)"""
+
+
+@R.query(
+    _JOBS.format(items=", range(3) AS g(i)", bills=", range(3) AS h(b)")
+    + """, read AS (SELECT k, b, value, gross, sum(gross) OVER (PARTITION BY k ORDER BY b) AS so_far FROM gross JOIN (SELECT k, b, sum(x * rate) AS value FROM billed GROUP BY ALL) USING (k, b)),
+scoped AS (SELECT *, CASE WHEN value / gross BETWEEN 0.6 AND 1.35 THEN 'this' WHEN so_far > gross AND value / so_far BETWEEN 0.6 AND 1.35 THEN 'all' END AS scope FROM read),
+used AS (SELECT k, b, coalesce(max(b) FILTER (scope = 'all') OVER (PARTITION BY k), 0) AS first FROM scoped),
+own AS (SELECT x.* FROM billed x JOIN used USING (k, b) WHERE b >= first),
+once AS (SELECT * FROM own a WHERE NOT EXISTS (FROM own e WHERE e.k = a.k AND e.i = a.i AND e.b < a.b AND abs(e.x - a.x) <= 0.005 * a.x)),
+taken AS (SELECT k, i, round(sum(x), 3) AS billed, arg_max(to_date, b) FILTER (to_date IS NOT NULL) AS to_date, count(*) AS n FROM once GROUP BY k, i),
+compared AS (SELECT p.k AS job, p.i + 1 AS item, p.q, n, CASE WHEN to_date >= billed - 0.01 THEN to_date ELSE billed END AS billed, to_date >= billed - 0.01 AS dated, CASE WHEN p.k % 4 = 0 AND p.i = 1 THEN round(p.q * 1.1e0, 3) END AS measured FROM plan p LEFT JOIN taken t ON t.k = p.k AND t.i = p.i)
+SELECT job, item::INT AS item, billed AS billed_quantity, measured AS measured_quantity, coalesce(measured, billed) AS compared_quantity, CASE WHEN measured IS NOT NULL THEN 'MB measurement total' WHEN dated THEN 'bill form total up to date' ELSE 'bill abstracts (sum of read bills)' END AS compared_basis, n::INT AS n_bills, round((coalesce(measured, billed) - q) / q * 100, 1) AS variance_pct FROM compared"""
+)
+def planned_against_billed_items(spark, d):
+    """Planned items of jobs against their bills: cumulative bills, repeated rows, columns up to date and measured totals."""
+    table(spark, d, "customer").createOrReplaceTempView("archive_customer")
+    text = _JOBS.replace("FROM customer", "FROM archive_customer").format(items="LATERAL VIEW explode(sequence(0, 2)) g AS i", bills="LATERAL VIEW explode(sequence(0, 2)) h AS b")
+    read = lambda what: spark.sql(f"{text} SELECT * FROM {what}")
+    code, words, none = F.concat(F.lit("SR "), F.col("i") + 1), F.element_at(F.array(*map(F.lit, ("tack coat", "kerb stones", "granite slabs"))), F.col("i") + 1), F.lit(None)
+    plan = read("plan").select(F.col("k").alias("job"), F.col("i").alias("position"), F.lit(Q.SCHEDULE).alias("type"), code.alias("code"), F.lit("sqm").alias("unit"), F.col("q").alias("quantity"), "rate", (F.col("q") * F.col("rate")).alias("amount"), words.alias("description"))
+    rows = read("billed").select(F.col("k").alias("job"), F.col("b").cast("string").alias("bill"), (F.col("b") * 3 + F.col("i")).alias("position"), code.alias("code"), F.lit("sqm").alias("unit"), F.col("x").alias("quantity"), "rate", (F.col("x") * F.col("rate")).alias("amount"), words.alias("description"), F.col("to_date").alias("to_date_quantity"))
+    bills = read("gross").select(F.col("k").alias("job"), F.col("b").cast("string").alias("bill"), F.lit("Running").alias("bill_type"), "gross", none.cast("date").alias("date"), F.lit(True).alias("paid"))
+    totals = read("plan").filter("k % 4 = 0 AND i = 1").select(F.col("k").alias("job"), code.alias("code"), F.lit("sqm").alias("unit"), F.round(F.col("q") * 1.1, 3).alias("total"))
+    items = Q.planned_against_billed(plan, bills, rows, totals).items
+    return items.select("job", "item", "billed_quantity", "measured_quantity", "compared_quantity", "compared_basis", F.size("bills").alias("n_bills"), "variance_pct")
+
+
 QUERIES, ORACLE_SQL = R.queries, R.sql
