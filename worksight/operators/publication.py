@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType
 
 from worksight.functions.parsing import LEAKS, publishable
+from worksight.storage import commit
 
 #: Keys of JSON whose values are addresses and stay as they are, and those that hold contacts.
 URL_KEYS = ("url", "attachment_url", "listing_url", "source_url", "comparative_url", "bid_url", "period_url", "tender_url", "document")
@@ -132,15 +133,7 @@ def publish(spark: SparkSession, tables: Mapping[str, DataFrame], path: str, col
         folder, fs = _path(spark, at)
         fs.delete(folder, True)
         raise Leak(f"publishing stopped, contact data is left: {found[:5]}")
-    temporary, fs = _path(spark, f"{path}/.{version}")
-    stream = fs.create(temporary, False)
-    stream.write(bytearray(version, "utf-8"))
-    stream.close()
-    options = spark._jvm.org.apache.hadoop.fs
-    context = options.FileContext.getFileContext(temporary.toUri(), spark._jsc.hadoopConfiguration())
-    overwrite = spark.sparkContext._gateway.new_array(options.Options.Rename, 1)
-    overwrite[0] = options.Options.Rename.OVERWRITE
-    context.rename(temporary, options.Path(f"{path}/{CURRENT}"), overwrite)  # one step, also over an older pointer
+    commit(spark, f"{path}/{CURRENT}", version)
     return version
 
 
