@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from worksight.operators.signals import project_signals
+from worksight.operators.signals import RUNNING_ONLY, project_signals
 from worksight.registry import Registry
 from worksight.tables import table
 
@@ -37,4 +37,32 @@ def work_signals(spark, d):
     return project_signals(facts, bills, "2026-10-05", "2026-03-31").drop("measure")
 
 
+#: What each twelfth of the orders is told, by rule; m runs from 0 to 99, so that every rule meets its threshold from both sides.
+_RULES = """WITH w AS (SELECT o_orderkey AS k, o_orderkey % 12 AS g, o_custkey % 100 AS m, CASE WHEN o_custkey % 2 = 0 THEN 'inferred' ELSE 'confirmed' END AS told FROM orders)
+SELECT k AS project_id, CASE g {codes} END AS code, CASE WHEN g IN (2, 5, 8, 10, 11) THEN 'info' ELSE 'notice' END AS severity, CASE WHEN g IN (1, 2, 3) THEN 'inferred' WHEN g >= 8 THEN 'confirmed' ELSE told END AS confidence
+FROM w WHERE CASE g WHEN 0 THEN 0.5e0 + m / 200e0 >= 0.75e0 AND 40 < 0.4e0 * (100 + m) WHEN 1 THEN 2 * m > 90 WHEN 2 THEN 4 * m > 180 WHEN 3 THEN 30 * m > 1095 WHEN 4 THEN (90 + m / 2e0) / 100e0 - 1 > 0.1e0
+  WHEN 5 THEN (60 + m / 4e0) / 100e0 - 1 < -0.25e0 WHEN 6 THEN m > 30 WHEN 7 THEN 2 * m - (m % 3) * 10 > 90 WHEN 11 THEN 300 + m > 365 ELSE m % 2 = 0 END"""
+_CODES = ("front_loaded_payment", "past_expected_completion", "no_bills_after_expected_completion", "stale_running", "award_above_estimate", "deep_discount", "paid_before_award", "past_stipulated_completion", "fine_levied", "placeholder_photos", "partial_release", "slow_payment")
+
+
+@R.query(_RULES.format(codes=" ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(_CODES))))
+def signal_rules(spark, d):
+    """Rules of tenders, periods, awards and documents, each on its own works, around their thresholds."""
+    w = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), (F.col("o_orderkey") % 12).alias("g"), (F.col("o_custkey") % 100).cast("int").alias("m"), F.to_date("o_orderdate").alias("day"), F.when(F.col("o_custkey") % 2 == 0, "inferred").otherwise("confirmed").alias("told"))
+    m, day, end, today = F.col("m"), F.col("day"), F.lit("2026-03-31").cast("date"), F.lit("2026-10-05").cast("date")
+    due = F.date_sub(end, 2 * m)
+    facts = {
+        0: {"paid_vs_contract": 0.5 + m / 200, "first_payment": F.date_add(day, 30), "last_payment": F.date_add(day, 40), "work_order_date": day, "period_days": 100 + m},
+        1: {"expected_completion": due}, 2: {"awarded_date": day, "expected_completion": F.date_sub(end, 4 * m)}, 3: {"status": F.lit(RUNNING_ONLY), "last_payment": F.date_sub(today, 30 * m)},
+        4: {"award_tender": F.lit("T"), "estimate_tender": F.lit("T"), "contract_value": 90 + m / 2, "estimated_cost": F.lit(100)}, 5: {"award_tender": F.lit("T"), "estimate_tender": F.lit("T"), "contract_value": 60 + m / 4, "estimated_cost": F.lit(100)},
+        6: {"awarded_date": F.date_add(day, m)}, 7: {"completion_due": due, "extended_completion": F.date_add(due, (m % 3) * 10)}, 8: {"penalties_deductions": F.when(m % 2 == 0, "fine ₹5,000").otherwise("it ₹5,000")},
+        9: {"placeholder_photos": F.when(m % 2 == 0, "3 photo slots")}, 10: {"partial_release": F.when(m % 2 == 0, "75")}, 11: {"bill_to_payment_days": 300 + m},
+    }
+    each = F.array_compact(F.array(*(F.when(F.col("g") == g, F.struct(F.lit(f).alias("field"), v.cast("string").alias("value"), F.col("told").alias("confidence"))) for g, own in facts.items() for f, v in own.items())))
+    told = w.select(F.col("k").alias("project_id"), F.explode(each).alias("f")).select("project_id", "f.*")
+    none = F.lit(None)
+    bills = w.filter("g IN (1, 3, 6)").select(F.col("k").alias("project_id"), F.lit("Running bill").alias("bill_type"), day.alias("br_date"), day.alias("payment_date"), none.cast("date").alias("end_date"), F.lit(1).cast("decimal(18,2)").alias("gross"), none.cast("double").alias("deduction"))
+    return project_signals(told, bills, "2026-10-05", "2026-03-31").drop("measure")
+
+
 QUERIES, ORACLE_SQL = R.queries, R.sql
