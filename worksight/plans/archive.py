@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from worksight import build
+from worksight.operators import documents as D
+from worksight.operators import matching as M
 from worksight.operators import quantities as Q
 from worksight.operators import scope as S
 from worksight.operators import work_slips as W
@@ -103,4 +106,60 @@ def planned_against_billed_items(spark, d):
     return items.select("job", "item", "billed_quantity", "measured_quantity", "compared_quantity", "compared_basis", F.size("bills").alias("n_bills"), "variance_pct")
 
 
+@R.query(
+    f"""WITH letters AS (SELECT string_split('{M.LETTERS}', '') AS cs),
+l AS (SELECT p_partkey AS a, lower(p_name || ' ' || p_type || ' ' || replace(p_brand, '#', ' ')) AS t FROM part), r AS (SELECT s_suppkey AS b, lower(replace(s_name, '#', ' ')) AS t FROM supplier),
+lc AS (SELECT t, list_transform(cs, lambda c: length(t) - length(replace(t, c, ''))) AS n FROM (SELECT DISTINCT t FROM l), letters), rc AS (SELECT t, list_transform(cs, lambda c: length(t) - length(replace(t, c, ''))) AS n FROM (SELECT DISTINCT t FROM r), letters),
+near AS (SELECT lc.t AS lt, rc.t AS rt FROM lc, rc WHERE 2.0 * list_sum(list_transform(range(1, 38), lambda i: least(lc.n[i], rc.n[i]))) / (length(lc.t) + length(rc.t)) >= 0.3)
+SELECT a, b FROM near JOIN l ON l.t = lt JOIN r ON r.t = rt"""
+)
+def letters_in_common(spark, d):
+    """Parts and suppliers whose names have 30 % of their letters in common; the SQL compares all pairs of distinct names."""
+    part, supplier = table(spark, d, "part"), table(spark, d, "supplier")
+    left = part.select(F.col("p_partkey").alias("id"), F.lower(F.concat_ws(" ", "p_name", "p_type", F.replace("p_brand", F.lit("#"), F.lit(" ")))).alias("text"))
+    return M.letters_alike(left, supplier.select(F.col("s_suppkey").alias("id"), F.lower(F.replace("s_name", F.lit("#"), F.lit(" "))).alias("text")), 0.3)
+
+
+@R.query(
+    """WITH x AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 THEN 'public_view' ELSE 'work_details' END AS kind, 'S' || o_orderkey % 3 AS source_id, o_custkey % 50 AS job, CASE WHEN o_orderkey % 5 = 0 THEN o_orderkey % 700 END AS ifms,
+  CASE WHEN o_orderkey % 3 > 0 THEN o_orderkey % 40 + 1 END AS br, CASE WHEN o_orderkey % 4 <> 1 THEN o_orderkey % 9 END AS brd, CASE WHEN o_orderkey % 11 > 0 THEN o_orderkey % 90 END AS gross, o_orderkey % 2 AS nett FROM orders),
+r AS (SELECT *, row_number() OVER (ORDER BY br IS NULL, kind <> 'public_view', source_id, id) AS rk, br IS NOT NULL AND brd IS NOT NULL AS numbered FROM x),
+amounts AS (SELECT job, gross, min(rk) AS f FROM r WHERE numbered GROUP BY ALL),
+l AS (SELECT r.* FROM r LEFT JOIN amounts m ON r.job = m.job AND r.gross IS NOT DISTINCT FROM m.gross WHERE numbered OR ifms IS NOT NULL OR f IS NULL OR rk < f),
+k AS (SELECT rk, 'I' || ifms AS key FROM l WHERE ifms IS NOT NULL UNION ALL SELECT rk, concat_ws(':', 'B', job, br, brd) FROM l WHERE numbered
+  UNION ALL SELECT rk, concat_ws(':', 'R', job, coalesce(gross::VARCHAR, '-' || id), nett) FROM l WHERE ifms IS NULL AND NOT numbered),
+f AS (SELECT rk, rk = min(rk) OVER (PARTITION BY key) AS first FROM k)
+SELECT id, CASE WHEN ifms IS NOT NULL THEN 'IFMS' WHEN numbered THEN 'BR' ELSE 'ROW' END AS dedupe_key FROM l JOIN (SELECT rk FROM f GROUP BY rk HAVING bool_and(first)) USING (rk)"""
+)
+def bills_told_apart(spark, d):
+    """Bills of several exports, each once: by id, by number and date, or by amounts where neither is there."""
+    k = F.col("o_orderkey")
+    money = lambda c: c.cast("decimal(18,2)")
+    bills = table(spark, d, "orders").select(
+        k.alias("id"), F.when(k % 2 == 0, "public_view").otherwise("work_details").alias("kind"), F.concat(F.lit("S"), k % 3).alias("source_id"), k.cast("int").alias("source_row"), (F.col("o_custkey") % 50).cast("string").alias("job_number"),
+        F.when(k % 5 == 0, k % 700).cast("string").alias("ifms_id"), F.when(k % 3 > 0, F.lpad((k % 40 + 1).cast("string"), 4, "0")).alias("br_no"), F.when(k % 4 != 1, F.date_add(F.lit("2020-01-01").cast("date"), (k % 9).cast("int"))).alias("br_date"),
+        money(F.when(k % 11 > 0, k % 90)).alias("gross"), F.lit(None).cast("decimal(18,2)").alias("deduction"), money(k % 2).alias("nett"),
+    )
+    return build.deduplicated(bills).select("id", "dedupe_key")
+
+
+@R.query(
+    """WITH x AS (SELECT o_orderkey AS file, (o_orderdate + INTERVAL 14 YEAR)::DATE AS day, round(o_totalprice, 2) AS amount, o_custkey % 30 AS n FROM orders)
+SELECT file, 'commencement_date' AS field, NULL AS value, NULL AS number, day::VARCHAR AS date FROM x UNION ALL SELECT file, 'completion_due', NULL, NULL, (day + n::INT)::VARCHAR FROM x UNION ALL SELECT file, 'contract_value', NULL, amount, NULL FROM x WHERE amount >= 10000
+UNION ALL SELECT file, 'tender_premium', NULL, CASE WHEN n % 2 = 0 THEN 1 ELSE -1 END * (n + 0.5e0), NULL FROM x UNION ALL SELECT file, 'period', NULL, n * 30, NULL FROM x WHERE n > 0 UNION ALL SELECT file, 'time_extension', CASE WHEN n % 3 = 0 THEN 'true' ELSE 'false' END, NULL, NULL FROM x
+UNION ALL SELECT file, 'work_order_ref', 'EE/' || n || '/WO/ ' || file, NULL, day::VARCHAR FROM x"""
+)
+def mined_values(spark, d):
+    """Values that orders' pages state, found again by the table of patterns; amounts and periods out of bounds are left out."""
+    day, n, k = F.to_date(F.add_months("o_orderdate", 168)), (F.col("o_custkey") % 30).cast("int"), F.col("o_orderkey")
+    shown = lambda c: F.date_format(c, "d.M.yyyy")
+    text = F.concat_ws(
+        "\n", F.format_string("No: EE/%d/WO/ %d  Date: %s", n, k, shown(day)), F.concat(F.lit("Date of commencement  of work "), shown(day)), F.concat(F.lit("Scheduled date of completion: "), shown(F.date_add(day, n))),
+        F.concat(F.lit("for a tender price of Rs. "), F.format_number("o_totalprice", 2)), F.format_string("Tender premium %d.5 %% %s", n, F.when(n % 2 == 0, "above").otherwise("below")), F.format_string("Time of completion %d months", n),
+        F.concat(F.lit("time extension if any : "), F.when(n % 3 == 0, "granted").otherwise("not granted")),
+    )
+    found = D.mine(table(spark, d, "orders").select(k.alias("file"), text.alias("text")))
+    return found.select("file", "field", "value", "number", F.col("date").cast("string").alias("date"))
+
+
 QUERIES, ORACLE_SQL = R.queries, R.sql
