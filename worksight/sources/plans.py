@@ -122,7 +122,8 @@ def sanctioned(texts: DataFrame, place: Place) -> DataFrame:
     x = _fields(_records(lines, head, "\n"), row, ("no", "ward_name", "job", "about", "estimate", "rest"))
     parts = F.transform(F.split(P.clean(F.col("rest")), r"\s*/\s*"), P.clean)
     others = F.nullif(F.array_join(F.filter(F.slice(parts, 2, 1000), lambda p: p.isNotNull()), " / "), F.lit(""))
-    about, ward = P.clean(F.col("about")), F.substring("job", 1, 3)
+    x = x.withColumn("about", P.clean(F.col("about")))  # once, as scope and class ask for it many times
+    about, ward = F.col("about"), F.substring("job", 1, 3)
     return _rows(x, row=F.col("no"), job_number=F.col("job"), description=about, ward=ward, ward_name=P.clean(F.col("ward_name")), regime=F.lit("198"), ecv=F.col("estimate"), office=F.get(parts, F.lit(0)), budget_head=others, scope_reason=_scope(place, about, "198", ward))
 
 
@@ -138,8 +139,9 @@ def programme(texts: DataFrame, place: Place) -> DataFrame:
     row = rf"(?s)^\s*(\d{{1,3}})\s+{place.constituency}\s+(\d{{3}})\s+(.+?)\s+(\d{{1,4}}\.\d{{2}})\s+({STATES})\b(.*)$"
     x = _records(lines_of(texts), r"^\s*\d{1,3}\s+[A-Z][A-Za-z .]+?\s+\d{3}\s", " ", LAYOUT)
     x = _fields(x, row, ("no", "ward", "about", "amount", "state", "tail"))
-    about = F.when(F.length("tail") > 10, F.concat_ws(" ", "about", "tail")).otherwise(F.col("about"))
-    return _rows(x, row=F.col("no"), description=P.clean(about), ward=F.col("ward"), regime=F.lit("243"), ecv=_lakh(F.col("amount")), plan_status=F.col("state"), status_text=F.concat("state", F.lit(f" ({place.programme})")), scope_reason=_scope(place, about, "243", F.col("ward")))
+    x = x.withColumn("about", P.clean(F.when(F.length("tail") > 10, F.concat_ws(" ", "about", "tail")).otherwise(F.col("about"))))
+    about = F.col("about")
+    return _rows(x, row=F.col("no"), description=about, ward=F.col("ward"), regime=F.lit("243"), ecv=_lakh(F.col("amount")), plan_status=F.col("state"), status_text=F.concat("state", F.lit(f" ({place.programme})")), scope_reason=_scope(place, about, "243", F.col("ward")))
 
 
 def noticed(texts: DataFrame, place: Place) -> DataFrame:
@@ -167,7 +169,8 @@ def granted(texts: DataFrame, place: Place) -> DataFrame:
     """Grant lists: a line with number, ward and amount in lakh; the description also takes the lines before and after."""
     row = rf"(?U)^\W*(\d{{1,3}})\s+({'|'.join(place.wards) or S.NEVER})\W{{0,4}}\s*(.+?)\s(\d{{1,3}}[.,]\d{{2}})\b(.*)$"
     x = _fields(with_neighbours(lines_of(texts)).withColumn("text", F.col("line")), row, ("no", "ward", "about", "amount"))
-    about = P.clean(F.regexp_replace(F.concat_ws(" ", F.trim("before"), F.trim("about"), F.trim("after")), GRANT_NOISE, " "))
+    x = x.withColumn("about", P.clean(F.regexp_replace(F.concat_ws(" ", F.trim("before"), F.trim("about"), F.trim("after")), GRANT_NOISE, " ")))
+    about = F.col("about")
     return _rows(x, row=F.col("no"), description=F.substring(about, 1, 300), ward=F.col("ward"), regime=F.lit("198"), ecv=_lakh(F.col("amount")), status_text=F.lit(f"Sanctioned under {place.grant}"), scope_reason=_scope(place, about, "198", F.col("ward")))
 
 
