@@ -10,7 +10,9 @@ from worksight.functions import dates as D
 from worksight.functions import parsing as P
 from worksight.functions import text as T
 from worksight.operators import dataset_signals as S
+from worksight.operators import entities as E
 from worksight.operators import scope
+from worksight.operators.facts import base_facts
 from worksight.registry import Registry
 from worksight.sources import plans as L
 from worksight.sources import registers as G
@@ -143,4 +145,46 @@ def quantity_signal_rules(spark, d):
     return S.quantity_signals(jobs, items, extras).select("work", "code", "severity", "measure")
 
 
+@R.query(
+    """WITH m AS (SELECT DISTINCT o_orderkey % 60 AS n, CASE WHEN o_orderkey // 60 % 2 = 0 THEN 'M/s ' ELSE '' END || 'Firm' || chr((65 + o_orderkey % 60 % 26)::INT) || o_orderkey % 60 AS name FROM orders)
+SELECT name, min(name) OVER (PARTITION BY CASE WHEN n % 4 = 0 THEN 'c' || n % 10 ELSE 'n' || n END) AS first_name FROM m"""
+)
+def payee_entities(spark, d):
+    """Payees as one by a register's code or by a name that is the same without its title; names of a fourth of all orders have codes that chain them."""
+    k = F.col("o_orderkey")
+    n = k % 60
+    name = F.concat(F.when(F.floor(k / 60) % 2 == 0, "M/s ").otherwise(""), F.lit("Firm"), F.char(65 + n % 26), n.cast("string"))
+    bills = table(spark, d, "orders").select(name.alias("contractor"), F.when(k % 4 == 0, F.format_string("%06d", k % 50 + 1)).alias("contractor_code"), F.lit(None).cast("string").alias("phone"))
+    tenders = spark.createDataFrame([], "contractor string, supplier_id string, bidders array<struct<name string>>")  # the portal's side is held by tests
+    mentions = E.resolve(bills, tenders)[1]
+    first = mentions.groupBy("entity").agg(F.min("name").alias("first_name"))
+    return mentions.join(first, "entity").select("name", "first_name")
+
+
+@R.query(
+    """WITH x AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 2 = 0 THEN 'confirmed' ELSE 'inferred' END AS sure, (o_orderdate + INTERVAL 20 YEAR)::DATE AS d, round(o_totalprice) AS v, o_custkey % 400 AS n, o_orderstatus = 'F' AS won FROM orders)
+SELECT k AS work, 'estimated_cost' AS field, (v + 5e0)::VARCHAR AS value, sure AS confidence FROM x UNION ALL SELECT k, 'tender_published', d::VARCHAR, sure FROM x UNION ALL SELECT k, 'tender_calls', CASE WHEN n % 3 = 0 THEN '2' ELSE '1' END, sure FROM x
+UNION ALL SELECT k, 'period_days', CASE WHEN n > 0 THEN n::VARCHAR END, CASE WHEN n > 0 THEN sure ELSE 'unknown' END FROM x UNION ALL SELECT k, 'contractor', CASE WHEN won THEN 'Firm ' || n END, CASE WHEN won THEN sure ELSE 'unknown' END FROM x
+UNION ALL SELECT k, 'contract_value', CASE WHEN won THEN v::DOUBLE::VARCHAR END, CASE WHEN won THEN sure ELSE 'unknown' END FROM x UNION ALL SELECT k, 'awarded_date', (d + 60)::VARCHAR, sure FROM x WHERE won UNION ALL SELECT k, 'bidders', (n % 4)::VARCHAR, sure FROM x WHERE n % 4 > 0
+UNION ALL SELECT k, 'status', CASE WHEN won THEN 'Tender awarded' ELSE 'Tender under evaluation' END, sure FROM x UNION ALL SELECT k, 'expected_completion', CASE WHEN won AND n > 0 THEN (d + 60 + n::INT)::VARCHAR END, CASE WHEN won AND n > 0 THEN 'inferred' ELSE 'unknown' END FROM x"""
+)
+def facts_of_tenders(spark, d):
+    """Facts of works from the tenders that were linked to them, exact or guessed, over one or two calls."""
+    orders, n, none = table(spark, d, "orders"), F.col("o_custkey") % 400, F.lit(None)
+    day, won = F.add_months(F.to_date("o_orderdate"), 240), F.col("o_orderstatus") == "F"
+    lists = F.array().cast("array<string>")
+    works = orders.select(F.col("o_orderkey").alias("work"), F.lit("Road").alias("title"), lists.alias("locations"), lists.alias("wards"), F.col("o_orderkey").cast("string").alias("job_number"))
+    calls = orders.withColumn("call", F.explode(F.when(n % 3 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))))
+    bidders = F.slice(F.array(*(F.struct(F.lit(x).alias("name")) for x in "abc")), F.lit(1), (n % 4).cast("int"))
+    v = F.round("o_totalprice")
+    links = calls.select(
+        F.col("o_orderkey").alias("work"), F.concat(F.lit("T"), "o_orderkey").alias("base"), F.lit("portal").alias("source"), (F.col("o_orderkey") % 2 == 0).alias("exact"), F.lit(0.9).alias("score"), F.lit("by words").alias("via"), F.concat(F.lit("T"), "o_orderkey").alias("tender_number"), "call",
+        F.date_add(day, 10 * (F.col("call") - 1)).alias("published_date"), F.when(won, "AWARDED").otherwise("UNDER_EVALUATION").alias("status"), none.cast("string").alias("status_text"), (v + 5.0).alias("ecv"), none.cast("double").alias("provisional_amount"),
+        F.when(n > 0, n).cast("int").alias("period_days"), F.lit("so long").alias("period_text"), F.when(won, F.concat(F.lit("Firm "), n)).alias("contractor"), F.when(won, v).alias("contract_value"), none.cast("double").alias("negotiated_value"), F.when(won, F.date_add(day, 60)).alias("awarded_date"), bidders.alias("bidders"),
+    )
+    bills = spark.createDataFrame([], "work long, contractor string, gross double, nett double, dedupe_key string, payment_date date, br_date date, wo_date date, wo_no string, start_date date, end_date date, bill_type string, source_id string, source_row int")
+    wanted = ("estimated_cost", "tender_published", "tender_calls", "period_days", "contractor", "contract_value", "awarded_date", "bidders", "status", "expected_completion")
+    return base_facts(works, bills, links).filter(F.col("field").isin(*wanted)).select("work", "field", "value", "confidence")
+
+
 QUERIES, ORACLE_SQL = R.queries, R.sql
