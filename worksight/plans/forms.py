@@ -11,6 +11,7 @@ from worksight.functions import parsing as P
 from worksight.functions import text as T
 from worksight.operators import dataset_signals as S
 from worksight.operators import entities as E
+from worksight.operators import issues as I
 from worksight.operators import scope
 from worksight.operators.facts import base_facts
 from worksight.registry import Registry
@@ -187,4 +188,25 @@ def facts_of_tenders(spark, d):
     return base_facts(works, bills, links).filter(F.col("field").isin(*wanted)).select("work", "field", "value", "confidence")
 
 
+@R.query(
+    """WITH i AS (SELECT o_custkey AS job, o_orderkey AS item, 2e0 + o_orderkey % 5 AS got, 1e5 * (1 + o_orderkey % 8) AS rate, o_orderkey % 2 = 0 AS dated FROM orders WHERE o_orderkey % 5 > 0 AND o_orderkey % 7 > 0),
+s AS (SELECT o_custkey AS job, 1e5 * (1 + o_orderkey % 8) AS rate, 1e0 + o_orderkey % 6 AS executed, CASE WHEN o_orderkey % 2 = 0 THEN 'high' ELSE 'medium' END AS sure, 'f' || o_orderkey AS file FROM orders WHERE o_orderkey % 3 = 0),
+b AS (SELECT i.job, item, executed, sure FROM i JOIN s ON i.job = s.job AND abs(s.rate - i.rate) <= 0.005 * i.rate QUALIFY row_number() OVER (PARTITION BY i.job, item ORDER BY executed DESC, file DESC) = 1),
+x AS (SELECT i.*, executed, sure, CASE WHEN executed >= 0.98 * got THEN 'explained' WHEN executed > 2.04 THEN 'partially_explained' WHEN sure = 'high' THEN 'unexplained_in_public_record' WHEN i.job % 4 IN (1, 2) THEN 'insufficient_evidence' ELSE 'unexplained_in_public_record' END AS status FROM i LEFT JOIN b ON i.job = b.job AND i.item = b.item)
+SELECT job AS "case", item, status, CASE WHEN status = 'insufficient_evidence' AND bool_or(status = 'explained') OVER (PARTITION BY job) THEN 'low' WHEN dated THEN 'high' ELSE 'low' END AS confidence, executed AS executed_qty, round((got - 2) * rate) AS value_at_issue, CASE WHEN job % 4 = 0 THEN 5 ELSE 0 END AS documentation_gap FROM x"""
+)
+def issues_above_plan(spark, d):
+    """Items billed above plan, against the statements of their job and then against each other; customers are jobs."""
+    k, job = F.col("o_orderkey"), F.col("o_custkey").alias("job")
+    rate = (100_000.0 * (1 + k % 8)).cast("double")
+    orders = table(spark, d, "orders")
+    bill = F.array(F.struct(F.lit("b").alias("bill"), F.lit(1.0).alias("quantity"), F.when(k % 7 > 0, "code").otherwise("description").alias("match"), F.lit(False).alias("swapped")))
+    items = orders.select(job, k.alias("item"), F.lit("x").alias("description"), F.lit("nos").alias("unit"), F.lit(2.0).alias("estimated_quantity"), rate.alias("estimated_rate"), (2 * rate).alias("estimated_amount"), (2.0 + k % 5).alias("compared_quantity"), F.when(k % 2 == 0, "bill form total up to date").otherwise("bill abstracts (sum of read bills)").alias("compared_basis"), bill.alias("bills"))
+    slips = orders.filter(k % 3 == 0).select(job, rate.alias("rate"), F.lit(None).cast("string").alias("unit"), (1.0 + k % 6).alias("executed_qty"), F.when(k % 2 == 0, "high").otherwise("medium").alias("confidence"), F.concat(F.lit("f"), k).alias("file"), F.lit(1).alias("page"), F.lit(0).alias("line"), F.lit("row").alias("raw"))
+    c = F.col("c_custkey")
+    docs = table(spark, d, "customer").filter(c % 4 > 0).select(c.alias("job"), F.concat(F.lit("d"), c).alias("file"), F.lit("variation").alias("kind"), F.lit("u").alias("url"), F.when(c % 4 < 3, "read").otherwise("not downloaded").alias("status"), F.lit(1).alias("rows"))
+    found = I.quantities_above_plan(items, slips, spark.createDataFrame([], "job long, file string, page int, text string"), docs)  # statements' pages are held by tests
+    return found.select("case", "item", "status", "confidence", "executed_qty", "value_at_issue", "documentation_gap")
+
+
 QUERIES, ORACLE_SQL = R.queries, R.sql
