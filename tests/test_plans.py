@@ -115,3 +115,9 @@ def test_ocr_texts_are_preferred(spark, tmp_path):
 def test_no_files_give_no_rows(spark):
     none = L.plan_rows(spark.createDataFrame([], L.FILE), spark.createDataFrame([], "file string, page int, text string"), PLACE)
     assert none.collect() == []
+
+
+def test_sanctioned_works_past_the_millionth_job(spark):
+    text = "1 South Hill Side Greenfield\n151-22-1000004\nRoad\n100.00 / EE / P1\n2 South Hill Side Greenfield\n151-22-00004\nDrain\n100.00 / EE / P1"
+    got = L.sanctioned(spark.createDataFrame([("s", 1, text)], "file string, page int, text string"), L.Place(AREA, constituency="Hill Side")).collect()
+    assert [(r.row, r.job_number, r.ward) for r in got] == [(1, "151-22-1000004", "151")]

@@ -118,7 +118,7 @@ def sanctioned(texts: DataFrame, place: Place) -> DataFrame:
     """Ward lists of sanctioned works: number and ward, job number, description, and at last the estimate with office and budget head."""
     lines = lines_of(texts)
     head = rf"^\s*\d+\s+{place.zone}\s+{place.constituency}"
-    row = rf"(?s)^\s*(\d+)\s+{place.zone}\s+{place.constituency}\s+([A-Za-z ]+?)\s*\n(\d{{3}}-\d{{2}}-\d{{6}})\s*\n(.*?)\n\s*(\d+\.\d{{2}})\s*/\s*(.*)$"
+    row = rf"(?s)^\s*(\d+)\s+{place.zone}\s+{place.constituency}\s+([A-Za-z ]+?)\s*\n({P.JOB})\s*\n(.*?)\n\s*(\d+\.\d{{2}})\s*/\s*(.*)$"
     x = _fields(_records(lines, head, "\n"), row, ("no", "ward_name", "job", "about", "estimate", "rest"))
     parts = F.transform(F.split(P.clean(F.col("rest")), r"\s*/\s*"), P.clean)
     others = F.nullif(F.array_join(F.filter(F.slice(parts, 2, 1000), lambda p: p.isNotNull()), " / "), F.lit(""))
