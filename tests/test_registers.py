@@ -57,3 +57,11 @@ def test_columns_past_the_first_width_are_read(spark, tmp_path):
     (tmp_path / "wide.csv").write_text("preamble\n" + "\n".join(rows) + "\n")
     got = with_header(read_cells(spark, str(tmp_path / "wide.csv")), "Job Number").collect()
     assert len(got) == 1 and got[0].cells[69:71] == ["151-20-000001", "x, y"] and got[0].header[70] == "last, one"
+
+
+def test_job_numbers_past_the_millionth(spark, tmp_path):
+    a = put(tmp_path / "a.csv", "Job Number,Name of Work\n151-22-1000004,Road\n151-22-00004,Drain\n")
+    c = put(tmp_path / "c.csv", "Job_Code,Amount in Rs.,Date\n151-22-1000004,5,01/02/2021\n151-22-100000,6,01/02/2021\n")
+    bills, estimates = S.load_registers(spark, {"public_view": a, "job_codes": c})
+    assert [r.job_number for r in bills.collect()] == ["151-22-1000004"]
+    assert sorted((r.job_number, r.estimate) for r in estimates.collect()) == [("151-22-100000", 6), ("151-22-1000004", 5)]
