@@ -25,13 +25,16 @@ k AS (SELECT ord, 'P' || l_orderkey || ':' || l_partkey AS key FROM r UNION ALL
 f AS (SELECT ord, ord = min(ord) OVER (PARTITION BY key) AS first FROM k)
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM r JOIN (SELECT ord FROM f GROUP BY ord HAVING bool_and(first)) USING (ord)""")
 def dedupe_first_seen(spark, d):
-    """A row stays if it is the first of every key that it carries; dropped rows still claim theirs."""
-    rows = table(spark, d, "lineitem").withColumn("ord", F.struct(*LINE_ORDER))
-    keys = F.array(F.concat(F.lit("P"), "l_orderkey", F.lit(":"), "l_partkey"), F.concat(F.lit("S"), "l_orderkey", F.lit(":"), "l_suppkey", F.lit(":"), "l_linestatus"))
-    each = rows.select("ord", F.explode(keys).alias("key"))
-    first = each.groupBy("key").agg(F.min("ord").alias("first"))
-    kept = each.join(first, "key").groupBy("ord").agg(F.bool_and(F.col("ord") == F.col("first")).alias("keep")).filter("keep")
-    return kept.select("ord.l_orderkey", "ord.l_linenumber", "ord.l_partkey", "ord.l_suppkey")
+    """A row stays if it is the first of every key that it carries; dropped rows still claim theirs.
+
+    All keys name the order, so rows are dealt by it once and each key is a window within; a key with a NULL in it is none.
+    """
+    ord, keys = F.struct(*LINE_ORDER), (("l_orderkey", "l_partkey"), ("l_orderkey", "l_suppkey", "l_linestatus"))
+    rows = table(spark, d, "lineitem").select(*LINE_ORDER).repartition("l_orderkey").distinct()
+    known = [F.concat(*key).isNotNull() for key in keys]
+    first = [~own | (ord == F.min(ord).over(W.partitionBy(*key))) for own, key in zip(known, keys)]
+    kept = rows.withColumns({"keyed": known[0] | known[1], "first": first[0] & first[1]}).filter("keyed AND first")
+    return kept.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
 
 
 @R.query("SELECT md5(text) AS digest, count(*) AS n, min(doc_id) AS first_doc FROM documents GROUP BY md5(text)")
