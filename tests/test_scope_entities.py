@@ -85,3 +85,13 @@ def test_ratios(spark):
     got = df.select("i", E.sequence_ratio("a", "b").alias("r"), E.quick_ratio(F.col("a"), F.col("b")).alias("q")).orderBy("i").collect()
     assert [r.r for r in got[:-1]] == [SequenceMatcher(None, *p).ratio() for p in pairs[:-1]] and got[-1].r == 0
     assert [r.q for r in got[:-1]] == [pytest.approx(SequenceMatcher(None, *p).quick_ratio()) for p in pairs[:-1]]
+
+
+def test_texts_of_no_category_are_told_by_one_pattern(spark):
+    import re
+
+    words = [w for _, p in S.CATEGORIES for w in S._alternatives(p)]
+    shown = [re.sub(r"\\b|(?<= )\?", "", w).replace(" ?", " ").upper() for w in words]
+    pattern = S.any_of(tuple(p for _, p in S.CATEGORIES))
+    assert all(re.search(pattern, f"x {w} y") for w in shown) and not re.search(pattern, "nothing of it: sw, dra, ltd")
+    assert len(re.findall(r"(?<!\\)\|", re.sub(r"\(\?:[^()]*\)", "", pattern))) < 30 < len(words)  # tried at each letter

@@ -117,9 +117,36 @@ def scope_reason(area: Area, text: Column, regime: Column, ward: Column, job: Co
     )
 
 
+def _alternatives(pattern: str) -> list[str]:
+    """What a pattern's outermost bars part."""
+    out, depth = [""], 0
+    for c in pattern.removeprefix("(?i)"):
+        depth += (c == "(") - (c == ")")
+        if c == "|" and not depth:
+            out.append("")
+        else:
+            out[-1] += c
+    return out
+
+
+def any_of(patterns: tuple[str, ...]) -> str:
+    """A pattern that finds something just where one of these does, whatever the case; alternatives are grouped by how they begin, since each group is tried at every letter."""
+    groups: dict[str, list[str]] = {}
+    for x in dict.fromkeys(a for p in patterns for a in _alternatives(p)):
+        begin = r"\b" if x.startswith(r"\b") else x[0].lower()
+        if not (begin == r"\b" or begin.isalnum()) or x[1:2] in tuple("?*+{"):  # no letter that must be there
+            begin = ""
+        groups.setdefault(begin, []).append(x[len(begin) :])
+    return "(?i)" + "|".join(f"{begin}(?:{'|'.join(rest)})" for begin, rest in groups.items())
+
+
 def classify(text: Column) -> Column:
-    """The category of a work, or NULL for what is none."""
+    """The category of a work, or NULL for what is none; the rules are tried only on texts that hold a word of any category."""
     text = F.coalesce(text, F.lit(""))
+    return F.when(text.rlike(any_of(tuple(p for _, p in CATEGORIES) + COMBINED_PARTS)), _ladder(text))
+
+
+def _ladder(text: Column) -> Column:
     parts = sum((text.rlike(f"(?i){p}").cast("int") for p in COMBINED_PARTS), F.lit(0))
     ladder = F.when(text.rlike(NOT_A_WORK), F.lit(None).cast("string")).when((parts >= 2) & ~text.rlike(MAJOR_DRAIN), COMBINED)
     for name, pattern in CATEGORIES:
