@@ -135,3 +135,17 @@ def test_priced_rows_as_in_the_plain_form(spark, seed):
     got = {x.i: tuple(x.y) for x in spark.createDataFrame(rows, "i int, t array<string>").select("i", A.find_priced_row(F.col("t")).alias("y")).collect()}
     want = {i: plain_priced(t or []) or (None,) * 4 for i, t in rows}
     assert {i: (got[i], want[i]) for i in want if got[i] != want[i]} == {} and sum(w[0] is not None for w in want.values()) > 200
+
+
+def test_search_goes_to_workers_by_value(spark):
+    """The search names no module that holds functions of Spark, which can't be sent once they were used."""
+    import worksight
+    from pyspark import cloudpickle
+    from worksight.functions import amounts
+
+    spark.range(1).select(amounts.find_priced_row(F.array(F.lit("2.00"), F.lit("50.00"), F.lit("100.00")))).collect()
+    cloudpickle.register_pickle_by_value(worksight)
+    try:
+        assert cloudpickle.dumps(W._statement_rows.func)
+    finally:
+        cloudpickle.unregister_pickle_by_value(worksight)

@@ -8,6 +8,9 @@ first two products, null and empty texts, or pages without lines.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -17,6 +20,7 @@ from pyspark.sql.window import Window
 
 from worksight.functions import amounts as A
 from worksight.functions import text as T
+from worksight.functions.amounts import LEAST_AMOUNT, LEAST_QUANTITY, LEAST_RATE, NEAR_RUPEES, NEAR_SHARE, UNIT_AMOUNT
 from worksight.operators import documents as D
 
 WIDEST = 64
@@ -38,18 +42,30 @@ HEADINGS = {
 UNIT_WORD = r"(?i)\b(sq\.?\s*m\w*|sqm\w*|cu\.?\s*m\w*|cum\w*|r\.?m\.?t?|rmt|m[23²³]|mtrs?|metres?|meters?|km|kms|nos?\.?|each|kgs?|tonnes?|tons?|ltrs?|litres?|l\.?s\.?|sft|rft|days?|m)\b"
 
 
-def _products(v: np.ndarray, decimal: np.ndarray) -> np.ndarray:
+def _agrees(product: float, amount: float) -> bool:
+    return amount > 0 and abs(product - amount) <= max(NEAR_RUPEES, NEAR_SHARE * amount)
+
+
+def _sensible(q: float, r: float, a: float) -> bool:
+    return a >= LEAST_AMOUNT and q >= LEAST_QUANTITY and r >= LEAST_RATE and (min(q, r) > 1 or a >= UNIT_AMOUNT)
+
+
+def _products(v: list[float], decimal: list[bool]) -> Iterator[tuple[int, int, int]]:
     """Places (amount, quantity, rate) of all products among a row's numbers, two of each three printed with decimals; by amount, then in order."""
-    at = np.arange(len(v))
-    q, r, a = v[None, :, None], v[None, None, :], v[:, None, None]
-    d = decimal.astype(int)
-    in_order = (at[None, :, None] < at[None, None, :]) & (at[None, None, :] < at[:, None, None])
-    with np.errstate(invalid="ignore", over="ignore"):
-        held = in_order & (q * r * a != 0) & (d[:, None, None] + d[None, :, None] + d[None, None, :] >= 2) & A.agrees(q * r, a) & A.sensible(q, r, a)
-    return np.argwhere(held)
+    for k in range(2, len(v)):
+        a = v[k]
+        if not a >= LEAST_AMOUNT:
+            continue
+        for i in range(k - 1):
+            q = v[i]
+            if not q >= LEAST_QUANTITY:
+                continue
+            for j in range(i + 1, k):
+                if _agrees(q * v[j], a) and decimal[k] + decimal[i] + decimal[j] >= 2 and _sensible(q, v[j], a):
+                    yield k, i, j
 
 
-def _in_two_parts(v: np.ndarray, products: np.ndarray, after: int, rate: float) -> tuple[float, float, int] | None:
+def _in_two_parts(v: list[float], products: Iterator[tuple[int, int, int]], after: int, rate: float) -> tuple[float, float, int] | None:
     """Executed quantity, amount and place of a row that splits them at 125 %: a quantity, then products whose quantities add up to it."""
     if after >= len(v) or not v[after] > 0:
         return None
@@ -59,54 +75,54 @@ def _in_two_parts(v: np.ndarray, products: np.ndarray, after: int, rate: float)
             chain.append((k, i, j))
             begin = k + 1
     for n, (k, i, j) in enumerate(chain):
-        for k2, i2, _ in chain[n + 1 :] if abs(v[j] - rate) <= A.NEAR_SHARE * rate else []:
+        for k2, i2, _ in chain[n + 1 :] if abs(v[j] - rate) <= NEAR_SHARE * rate else []:
             if abs(v[i] + v[i2] - v[after]) <= SAME_QUANTITY:
                 return v[after], v[k] + v[k2], k2
     return None
 
 
-def _executed(v: np.ndarray, after: int, q: float, rate: float, amount: float) -> tuple[float, float, int, str] | None:
+def _executed(v: list[float], after: int, q: float, rate: float, amount: float) -> tuple[float, float, int, str] | None:
     """Of what stands after the tendered amount: the largest quantity whose amount is there, or that an amount alone gives."""
     rest = v[after:]
-    with np.errstate(invalid="ignore"):
-        pairs = np.argwhere(np.triu((rest[None] != 0) & A.agrees(rest[:, None] * rate, rest[None]), 1))
-    found = [(rest[x], rest[y], after + y, EXECUTED) for x, y in pairs]
+    found = [(x, y, after + at, EXECUTED) for n, x in enumerate(rest) for at, y in enumerate(rest[n + 1 :], n + 1) if _agrees(x * rate, y)]
     for y, x in enumerate(rest):
         times = x / rate
-        others = [a for _, a, _, _ in found]
-        if x > max([amount, *others]) and abs(x - rate) > CENT and times <= MOST_DERIVED * max(q, 1) and abs(times - round(times, 2)) < WHOLE and not any(A.agrees(np.float64(x), np.float64(a)) for a in others):
+        if x > max([amount, *(a for _, a, _, _ in found)]) and abs(x - rate) > CENT and times <= MOST_DERIVED * max(q, 1) and abs(times - round(times, 2)) < WHOLE and not any(_agrees(x, a) for _, a, _, _ in found):
             found.append((round(times, 2), x, after + y, DERIVED))
     if found:
         best = max(found, key=lambda f: (f[0], -f[2]))
-        confirmed = any(at != best[2] and bool(A.agrees(np.float64(n), np.float64(best[0]))) for n, _, at, _ in found)
+        confirmed = any(at != best[2] and _agrees(n, best[0]) for n, _, at, _ in found)
         return *best[:3], EXECUTED if confirmed or best[3] == EXECUTED and not any(f[3] == DERIVED for f in found) else DERIVED
-    none = np.flatnonzero(rest == 0)
-    if len(none) and A.agrees(rest, np.float64(amount)).any():
-        return 0.0, 0.0, after + int(none[0]), NOTHING
+    if 0 in rest and any(_agrees(x, amount) for x in rest):
+        return 0.0, 0.0, after + rest.index(0), NOTHING
     return None
 
 
-def _difference(v: np.ndarray, digits: np.ndarray, after: int, rate: float, gap: float) -> tuple[float, str] | None:
+def _difference(v: list[float], digits: list[str], after: int, rate: float, gap: float) -> tuple[float, str] | None:
     """The first number behind that is the gap between the amounts, or its digits without their point."""
-    with np.errstate(invalid="ignore"):
-        open_ = ~(np.abs(v - rate) <= CENT) & np.isfinite(v) & (np.arange(len(v)) > after) & (gap > 0)
-        printed = open_ & (A.agrees(np.full(len(v), gap), v) | (np.abs(gap - v) <= A.NEAR_RUPEES))
-    alike = open_ & (digits == (f"{gap:.2f}".replace(".", "").lstrip("0") or None))
-    hits = np.flatnonzero(printed | alike)
-    if not len(hits):
+    if not gap > 0:
         return None
-    return (float(v[hits[0]]), "") if printed[hits[0]] else (round(gap, 2), RESTORED)
+    whole = f"{gap:.2f}".replace(".", "").lstrip("0") or None
+    for x, shown in zip(v[after + 1 :], digits[after + 1 :]):
+        if abs(x - rate) <= CENT or not math.isfinite(x):
+            continue
+        if _agrees(gap, x) or abs(gap - x) <= NEAR_RUPEES:
+            return x, ""
+        if shown == whole:
+            return float(np.round(gap, 2)), RESTORED
+    return None
 
 
 _ROW = StructType([*(StructField(c, DoubleType()) for c in ("tender_qty", "rate", "tender_amount", "executed_qty", "actual_amount", "excess", "savings")), StructField("checks", ArrayType(StringType())), StructField("confidence", StringType())])
 
 
-def statement_row(v: np.ndarray, decimal: np.ndarray, digits: np.ndarray) -> tuple | None:
+def statement_row(v: list[float], decimal: list[bool], digits: list[str]) -> tuple | None:
     """A row's tendered and executed quantities with the checks that hold, or None."""
     products = _products(v, decimal)
-    if not len(products):
+    first = next(products, None)
+    if first is None:
         return None
-    k, i, j = products[0]
+    k, i, j = first
     q, rate, amount = v[i], v[j], v[k]
     split = _in_two_parts(v, products, k + 1, rate)
     got = (*split, SPLIT) if split else _executed(v, k + 1, q, rate, amount)
@@ -117,20 +133,15 @@ def statement_row(v: np.ndarray, decimal: np.ndarray, digits: np.ndarray) -> tup
     saved = amount > actual
     checks = [TENDERED, how] + ([(SAVED if saved else EXCEEDED) + gap[1]] if gap else [])
     sure = "high" if gap and how != DERIVED else "medium"
-    return q, rate, amount, float(executed), float(actual), gap[0] if gap and not saved else None, gap[0] if gap and saved else None, checks, sure
+    return q, rate, amount, executed, actual, gap[0] if gap and not saved else None, gap[0] if gap and saved else None, checks, sure
 
 
 @F.pandas_udf(_ROW)
-def _statement_rows(rows: pd.Series) -> pd.DataFrame:
-    none = (None,) * len(_ROW.names)
-    out = []
-    for r in rows:
-        if r is None or not 3 <= len(r) <= WIDEST:
-            out.append(none)
-            continue
-        v, decimal, digits = np.array([x["value"] for x in r], float), np.array([x["decimal"] for x in r], bool), np.array([x["digits"] for x in r], object)
-        out.append(statement_row(v, decimal, digits) or none)
-    return pd.DataFrame(out, columns=_ROW.names)
+def _statement_rows(values: pd.Series, decimals: pd.Series, digits: pd.Series) -> pd.DataFrame:
+    """Rows are short, so plain numbers are searched; a row's own loops end at what they look for."""
+    none = (None,) * 9
+    out = [none if v is None else statement_row(v.tolist(), d.tolist(), list(s)) or none for v, d, s in zip(values, decimals, digits)]
+    return pd.DataFrame(out, columns=["tender_qty", "rate", "tender_amount", "executed_qty", "actual_amount", "excess", "savings", "checks", "confidence"])
 
 
 def statement_rows(pages: DataFrame) -> DataFrame:
@@ -140,7 +151,9 @@ def statement_rows(pages: DataFrame) -> DataFrame:
     """
     keys = [c for c in pages.columns if c != "text"]
     lines = pages.select(*keys, F.posexplode(F.split("text", r"\r?\n")).alias("line", "raw"))
-    x = lines.withColumn("x", _statement_rows(A.printed(T.number_tokens(F.col("raw"))))).withColumn("found", F.col("x.rate").isNotNull())
+    tokens = T.number_tokens(F.col("raw"))
+    tokens = F.when(F.size(tokens).between(3, WIDEST), tokens)
+    x = lines.withColumn("x", _statement_rows(*A.printed_numbers(tokens))).withColumn("found", F.col("x.rate").isNotNull())
     own = Window.partitionBy("file", "page").orderBy("line")
     block = F.coalesce(F.sum(F.col("found").cast("int")).over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     within = Window.partitionBy("file", "page", "block").orderBy("line").rowsBetween(-5, 0)
