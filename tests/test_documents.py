@@ -164,3 +164,17 @@ def test_cases(spark):
     assert [r["case"] for r in C.significant_fines(fines).collect()] == ["A"]
     items = spark.createDataFrame([(j, float(q), 2.0) for j, n in (("a", 6), ("b", 5), ("c", 1)) for q in range(n)], "job string, quantity double, rate double")
     assert {(r.a, r.b): (r.shared, r.strong) for r in C.shared_items(items).collect()} == {("a", "b"): (5, True), ("a", "c"): (1, False), ("b", "c"): (1, False)}
+
+
+def test_places_and_groups_of_matches(spark):
+    import re
+
+    text = "Actual date of completion: 1.2.2020\nno: date of completion 3.4.2021, DATE OF COMPLETION - 5.6.22. time of completion 3 months; Tender premium 4.5 % Above"
+    for name, pattern, kind in D.PATTERNS:
+        n = 2 if kind in D._PAIRS else 1
+        for t in (text, "ab 151-22-000004 Lat 12.9716 N Long 77.5946, No: EE/1/WO/ 7  Date: 1.2.2020"):
+            (row,) = spark.createDataFrame([(t,)], "t string").select(D.matches(F.col("t"), f"(?i){pattern}", n).alias("m"), D.holds(F.lower("t"), pattern).alias("h")).collect()
+            want = [(m.group(0), *(m.group(k) or "" for k in range(1, n + 1)), m.start()) for m in re.finditer(f"(?i){pattern}", t)]
+            assert [tuple(x) for x in row.m] == want and (row.h or not want), name
+    absent = spark.createDataFrame([("none",)], "t string").select(*(D.holds(F.lower("t"), p).alias(f"c{i}") for i, (_, p, _) in enumerate(D.PATTERNS))).first()
+    assert list(absent).count(False) > 12  # most rules aren't tried on a text without their words

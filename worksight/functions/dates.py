@@ -17,9 +17,9 @@ PERIOD_END = r"(?i)defects?\s+liability|bid\s+validity|validity\s+period|final\s
 
 def _day_month_year(c: Column, shape: str, first: int, last: int) -> Column:
     part = lambda k: F.regexp_extract(c, shape, k).try_cast("int")
-    year = part(3) + F.when(part(3) < 100, 2000).otherwise(0)
-    day = F.try_to_date(F.concat_ws("-", year, part(2), part(1)), "y-M-d")
-    return F.when(c.rlike(shape) & year.between(first, last), day)
+    parts = F.transform(F.array(F.struct(part(3).alias("y"), part(2).alias("m"), part(1).alias("d"))), lambda p: F.struct((p["y"] + F.when(p["y"] < 100, 2000).otherwise(0)).alias("y"), p["m"].alias("m"), p["d"].alias("d")))
+    read = F.transform(parts, lambda p: F.when(p["y"].between(first, last), F.try_to_date(F.concat_ws("-", p["y"], p["m"], p["d"]), "y-M-d")))
+    return F.when(c.rlike(shape), F.get(read, F.lit(0)))  # through arrays of one, so that each part is read once
 
 
 def document_date(c: Column) -> Column:
