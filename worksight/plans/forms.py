@@ -18,7 +18,7 @@ from worksight.registry import Registry
 from worksight.sources import plans as L
 from worksight.sources import registers as G
 from worksight.storage import shared_folder
-from worksight.tables import table
+from worksight.tables import dealt, table
 
 R = Registry()
 AREA = scope.Area("Greenfield", "greenfield", r"green\s*field", {"198": ["151"], "243": ["186"]})
@@ -35,7 +35,9 @@ def text_forms(spark, d):
     a, b = k % 20 + 1, k % 7
     c = lambda *x: F.concat(*(F.lit(v) if isinstance(v, str) else v.cast("string") for v in x))
     display = F.when(b > 3, c("Mr. Ravi ", k, "( M/s Green ", k, " Works Pvt Ltd )")).otherwise(c("Sri Ravi ", k, " (", b, ")"))
-    x = table(spark, d, "customer").select(k.alias("k"), c("M/s. Sri ", n, " & Builders Co. Ltd (", b, ")").alias("firm"), c("  Improvements of: ", n, "--road!").alias("title"), c("00000", b, " ", n, "  Sons 9876543210").alias("payee"), c("GF/2021/", k, F.when(b > 0, c("/CALL-", b)).otherwise("")).alias("tender"), c("Work at ", a, "th Block, ", b + 2, "th C Main and ", a, "th cross").alias("place"), display.alias("display"))
+    customers = table(spark, d, "customer")
+    customers = dealt(customers.select("c_custkey", "c_name"), customers.count(), 5_000, "c_custkey")  # a name takes long to read, and many fit in one file
+    x = customers.select(k.alias("k"), c("M/s. Sri ", n, " & Builders Co. Ltd (", b, ")").alias("firm"), c("  Improvements of: ", n, "--road!").alias("title"), c("00000", b, " ", n, "  Sons 9876543210").alias("payee"), c("GF/2021/", k, F.when(b > 0, c("/CALL-", b)).otherwise("")).alias("tender"), c("Work at ", a, "th Block, ", b + 2, "th C Main and ", a, "th cross").alias("place"), display.alias("display"))
     both = T.person_and_firm(F.col("display"))
     return x.select("k", T.norm_name(F.col("firm")).alias("name"), P.slugify(F.col("title")).alias("slug"), P.contractor(F.col("payee")).alias("payee"), P.contractor_code(F.col("payee")).alias("code"), T.base_tender(F.col("tender")).alias("base"), T.call_number(F.col("tender")).alias("call"), F.array_join(T.place_keys(F.col("place")), ",").alias("places"), both["person"].alias("person"), both["firm"].alias("firm"))
 
