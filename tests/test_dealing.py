@@ -9,3 +9,12 @@ def test_names_in_one_file_are_dealt_out(spark, tmp_path):
     out = catalog.QUERIES["text_forms"](spark, str(tmp_path))
     assert out.rdd.getNumPartitions() == n // 5_000
     assert out.select("k").distinct().count() == n
+
+
+def _plan(spark, tmp_path, query):
+    spark.range(2).select(F.col("id").alias("o_orderkey"), F.col("id").alias("o_custkey"), F.lit(1000.0).alias("o_totalprice"), F.lit("1-URGENT").alias("o_orderpriority")).write.parquet(f"{tmp_path}/orders.parquet")
+    return catalog.QUERIES[query](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_category_is_found_once_a_row(spark, tmp_path):
+    assert _plan(spark, tmp_path, "archived_programme_rows").count("rajyotsava") == 1

@@ -22,6 +22,7 @@ from pyspark.sql.window import Window
 
 from worksight.functions import parsing as P
 from worksight.operators import scope as S
+from worksight.tables import once
 
 CHUNK, PAGE = 4096, 1 << 24
 FILE = "file string, kind string, title string, url string, published_date date, fy string, ocr boolean"
@@ -122,7 +123,7 @@ def sanctioned(texts: DataFrame, place: Place) -> DataFrame:
     x = _fields(_records(lines, head, "\n"), row, ("no", "ward_name", "job", "about", "estimate", "rest"))
     parts = F.transform(F.split(P.clean(F.col("rest")), r"\s*/\s*"), P.clean)
     others = F.nullif(F.array_join(F.filter(F.slice(parts, 2, 1000), lambda p: p.isNotNull()), " / "), F.lit(""))
-    x = x.withColumn("about", P.clean(F.col("about")))  # once, as scope and class ask for it many times
+    x = once(x.withColumnRenamed("about", "as_read"), about=P.clean(F.col("as_read")))  # as scope and class ask for it many times
     about, ward = F.col("about"), F.substring("job", 1, 3)
     return _rows(x, row=F.col("no"), job_number=F.col("job"), description=about, ward=ward, ward_name=P.clean(F.col("ward_name")), regime=F.lit("198"), ecv=F.col("estimate"), office=F.get(parts, F.lit(0)), budget_head=others, scope_reason=_scope(place, about, "198", ward))
 
@@ -139,7 +140,7 @@ def programme(texts: DataFrame, place: Place) -> DataFrame:
     row = rf"(?s)^\s*(\d{{1,3}})\s+{place.constituency}\s+(\d{{3}})\s+(.+?)\s+(\d{{1,4}}\.\d{{2}})\s+({STATES})\b(.*)$"
     x = _records(lines_of(texts), r"^\s*\d{1,3}\s+[A-Z][A-Za-z .]+?\s+\d{3}\s", " ", LAYOUT)
     x = _fields(x, row, ("no", "ward", "about", "amount", "state", "tail"))
-    x = x.withColumn("about", P.clean(F.when(F.length("tail") > 10, F.concat_ws(" ", "about", "tail")).otherwise(F.col("about"))))
+    x = once(x.withColumnRenamed("about", "as_read"), about=P.clean(F.when(F.length("tail") > 10, F.concat_ws(" ", "as_read", "tail")).otherwise(F.col("as_read"))))
     about = F.col("about")
     return _rows(x, row=F.col("no"), description=about, ward=F.col("ward"), regime=F.lit("243"), ecv=_lakh(F.col("amount")), plan_status=F.col("state"), status_text=F.concat("state", F.lit(f" ({place.programme})")), scope_reason=_scope(place, about, "243", F.col("ward")))
 
@@ -206,7 +207,7 @@ def plan_rows(files: DataFrame, texts: DataFrame, place: Place, cells: DataFrame
     rows = found[0]
     for more in found[1:]:
         rows = rows.unionByName(more)
-    rows = rows.withColumn("category", S.classify(F.col("description"))).filter("scope_reason IS NOT NULL AND category IS NOT NULL")
+    rows = once(rows.filter("scope_reason IS NOT NULL"), category=S.classify(F.col("description"))).filter("category IS NOT NULL")
     described = files.join(financial_years(texts), "file", "left").withColumn("fy", F.coalesce("fy", "named_fy")).drop("named_fy")
     base = F.coalesce("base", F.concat("file", F.lit("#"), F.col("row").cast("string")))
     return rows.join(described, "file").withColumns({"base": base, "tender_number": F.coalesce("tender_number", base), "source": F.concat(F.lit("WB-"), F.upper("kind"))})
