@@ -18,3 +18,7 @@ def _plan(spark, tmp_path, query):
 
 def test_category_is_found_once_a_row(spark, tmp_path):
     assert _plan(spark, tmp_path, "archived_programme_rows").count("rajyotsava") == 1
+
+
+def test_grants_words_are_cleaned_once_a_row(spark, tmp_path):
+    assert _plan(spark, tmp_path, "grant_list_rows").count(";@#:]") == 1

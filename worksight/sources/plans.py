@@ -170,7 +170,7 @@ def granted(texts: DataFrame, place: Place) -> DataFrame:
     """Grant lists: a line with number, ward and amount in lakh; the description also takes the lines before and after."""
     row = rf"(?U)^\W*(\d{{1,3}})\s+({'|'.join(place.wards) or S.NEVER})\W{{0,4}}\s*(.+?)\s(\d{{1,3}}[.,]\d{{2}})\b(.*)$"
     x = _fields(with_neighbours(lines_of(texts)).withColumn("text", F.col("line")), row, ("no", "ward", "about", "amount"))
-    x = x.withColumn("about", P.clean(F.regexp_replace(F.concat_ws(" ", F.trim("before"), F.trim("about"), F.trim("after")), GRANT_NOISE, " ")))
+    x = once(x.withColumnRenamed("about", "as_read"), about=P.clean(F.regexp_replace(F.concat_ws(" ", F.trim("before"), F.trim("as_read"), F.trim("after")), GRANT_NOISE, " ")))
     about = F.col("about")
     return _rows(x, row=F.col("no"), description=F.substring(about, 1, 300), ward=F.col("ward"), regime=F.lit("198"), ecv=_lakh(F.col("amount")), status_text=F.lit(f"Sanctioned under {place.grant}"), scope_reason=_scope(place, about, "198", F.col("ward")))
 
