@@ -22,3 +22,11 @@ def test_category_is_found_once_a_row(spark, tmp_path):
 
 def test_grants_words_are_cleaned_once_a_row(spark, tmp_path):
     assert _plan(spark, tmp_path, "grant_list_rows").count(";@#:]") == 1
+
+
+def test_partitions_of_pairs_grow_with_the_lines(spark, tmp_path):
+    n = 250_000 * spark.sparkContext.defaultParallelism + 4
+    spark.range(n).select(F.floor(F.col("id") / 4).alias("l_orderkey"), (F.col("id") % 4).alias("l_suppkey")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    out = catalog.QUERIES["co_bidding_pairs"](spark, str(tmp_path))
+    assert out.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism + 1
+    assert {tuple(x) for x in out.collect()} == {(a, b, n // 4) for a in range(4) for b in range(a + 1, 4)}

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window as W
 
 from worksight.plans.rules import MONEY
 from worksight.registry import Registry
-from worksight.tables import table
+from worksight.tables import dealt, table
 
 R = Registry()
 LINE_ORDER = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
@@ -129,9 +129,11 @@ def contractor_concentration(spark, d):
 
 @R.query("""WITH b AS (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem) SELECT x.l_suppkey AS a, y.l_suppkey AS b, count(*) AS n FROM b x JOIN b y ON x.l_orderkey = y.l_orderkey AND x.l_suppkey < y.l_suppkey GROUP BY 1, 2 HAVING count(*) >= 3""")
 def co_bidding_pairs(spark, d):
-    b = table(spark, d, "lineitem").select("l_orderkey", "l_suppkey").distinct()
-    y = b.withColumnRenamed("l_suppkey", "b")
-    return b.join(y, "l_orderkey").filter("l_suppkey < b").groupBy(F.col("l_suppkey").alias("a"), "b").agg(F.count("*").alias("n")).filter("n >= 3")
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_suppkey")
+    n = lines.count()
+    b = dealt(lines, n, 250_000, "l_orderkey").distinct()
+    pairs = b.join(b.withColumnRenamed("l_suppkey", "b"), "l_orderkey").filter("l_suppkey < b").select(F.col("l_suppkey").alias("a"), "b")
+    return dealt(pairs, n, 250_000, "a", "b").groupBy("a", "b").agg(F.count("*").alias("n")).filter("n >= 3")
 
 
 @R.query("SELECT l_orderkey, min(l_suppkey) AS bidder FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_suppkey) = 1")
