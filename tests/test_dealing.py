@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from worksight import catalog
+from worksight.sources import grid
 
 
 def test_names_in_one_file_are_dealt_out(spark, tmp_path):
@@ -30,3 +31,8 @@ def test_partitions_of_pairs_grow_with_the_lines(spark, tmp_path):
     out = catalog.QUERIES["co_bidding_pairs"](spark, str(tmp_path))
     assert out.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism + 1
     assert {tuple(x) for x in out.collect()} == {(a, b, n // 4) for a in range(4) for b in range(a + 1, 4)}
+
+
+def test_a_grid_cell_is_read_once_for_all_its_references(spark):
+    plan = grid.grid_rows(spark.createDataFrame([], grid.WINDOW))._jdf.queryExecution().analyzed().toString()
+    assert plan.count(".brnumber") == 1

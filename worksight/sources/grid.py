@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from worksight.functions import parsing as P
 from worksight.operators.publication import without_phone
 from worksight.operators.scope import Area, grid_scope
+from worksight.tables import once
 
 #: Fields of a window's file and of its rows.
 WINDOW = (
@@ -36,12 +37,13 @@ def _reference(c: Column, name: str, digits: str = r"\d") -> tuple[Column, Colum
 def grid_rows(windows: DataFrame) -> DataFrame:
     """One row for each bill and window; place orders them by window and position. NULL where a cell can't be read."""
     r = windows.select("from", "to", "url", F.posexplode("rows").alias("at", "r"))
-    details = F.coalesce("r.wodetails", F.lit(""))
-    glued = F.regexp_replace(F.coalesce("r.brnumber", F.lit("")), "<br/>", " ")
+    r = once(r, details=F.coalesce("r.wodetails", F.lit("")), glued=F.replace(F.coalesce("r.brnumber", F.lit("")), F.lit("<br/>"), F.lit(" ")))
+    details, glued = F.col("details"), F.col("glued")
+    r = once(r, job_number=P.norm_job(F.regexp_extract(details, JOB_IN_LINK, 1)), payee=without_phone(F.col("r.contractor")))
     (br_no, br_date), (cbr_no, cbr_date), (rtgs_no, rtgs_date) = _reference(glued, "BR"), _reference(glued, "CBR", r"[\d-]"), _reference(glued, "Rtgs")
     rows = r.select(
-        F.struct("from", "at").alias("place"), F.concat_ws("..", "from", "to").alias("window"), F.col("r.id").alias("bill_id"), P.norm_job(F.regexp_extract(details, JOB_IN_LINK, 1)).alias("job_number"),
-        P.html_text(F.regexp_replace(details, r"(?s)^.*?<br/>", "")).alias("description"), P.contractor(without_phone(F.col("r.contractor"))).alias("contractor"),
+        F.struct("from", "at").alias("place"), F.concat_ws("..", "from", "to").alias("window"), F.col("r.id").alias("bill_id"), "job_number",
+        P.html_text(F.regexp_replace(details, r"(?s)^.*?<br/>", "")).alias("description"), P.contractor(F.col("payee")).alias("contractor"),
         br_no.alias("br_no"), br_date.alias("br_date"), cbr_no.alias("cbr_no"), cbr_date.alias("cbr_date"), rtgs_no.alias("rtgs_no"), rtgs_date.alias("rtgs_date"),
         P.money(F.col("r.amount")).alias("gross"), P.money(F.col("r.nett")).alias("nett"), P.money(F.col("r.deduction")).alias("deduction"), F.col("url").alias("source_url"),
     )
