@@ -33,6 +33,17 @@ def test_partitions_of_pairs_grow_with_the_lines(spark, tmp_path):
     assert {tuple(x) for x in out.collect()} == {(a, b, n // 4) for a in range(4) for b in range(a + 1, 4)}
 
 
+def test_partitions_of_curves_grow_with_the_lines(spark, tmp_path):
+    cores = spark.sparkContext.defaultParallelism
+    line = spark.range(250_000 * cores + 4).select(
+        F.floor(F.col("id") / 4).alias("l_orderkey"), F.lit(1).cast("long").alias("l_suppkey"), (F.col("id") % 4 + 1).cast("int").alias("l_linenumber"), F.lit(100.0).alias("l_extendedprice"), F.lit("1997-01-01").cast("timestamp").alias("l_shipdate")
+    )
+    line.write.parquet(f"{tmp_path}/lineitem.parquet")
+    out = catalog.QUERIES["payment_curves"](spark, str(tmp_path))
+    assert out.rdd.getNumPartitions() == cores + 1
+    assert out.count() == 250_000 * cores + 4
+
+
 def test_a_grid_cell_is_read_once_for_all_its_references(spark):
     plan = grid.grid_rows(spark.createDataFrame([], grid.WINDOW))._jdf.queryExecution().analyzed().toString()
     assert plan.count(".brnumber") == 1

@@ -8,7 +8,7 @@ from worksight.operators import cases as C
 from worksight.operators import dataset_signals as S
 from worksight.operators import explorer as X
 from worksight.registry import Registry
-from worksight.tables import table
+from worksight.tables import dealt, table
 
 R = Registry()
 
@@ -45,7 +45,8 @@ x AS (SELECT *, count(*) OVER w AS n, min(date) OVER w AS first, max(date) OVER
 SELECT project_id, date::VARCHAR AS date, round(100.0::DOUBLE * date_diff('day', first, date) / greatest(1, date_diff('day', first, last)), 1) AS x, round(40 - 38 * paid::DOUBLE / total::DOUBLE, 1) AS y, paid::DOUBLE AS paid FROM x WHERE n >= 2""")
 def payment_curves(spark, d):
     """Points of each work's payments so far, as its chart draws them."""
-    return X.cumulative_points(_records(spark, d)).withColumn("date", F.col("date").cast("string"))
+    records = dealt(_records(spark, d), table(spark, d, "lineitem").count(), 250_000, "project_id")
+    return X.cumulative_points(records).withColumn("date", F.col("date").cast("string"))
 
 
 @R.query(f"{_BILLS} SELECT project_id, gross::DOUBLE AS gross, source_id, CASE WHEN source_id < 'S5' THEN 'Source ' || source_id END AS source_name FROM bills")
