@@ -44,6 +44,14 @@ def test_partitions_of_curves_grow_with_the_lines(spark, tmp_path):
     assert out.count() == 250_000 * cores + 4
 
 
+def test_tasks_of_planned_items_grow_with_the_jobs(spark, tmp_path):
+    cores = spark.sparkContext.defaultParallelism
+    spark.range(5_000 * cores + 1).select(F.col("id").alias("c_custkey")).coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    plan = catalog.QUERIES["planned_against_billed_items"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    exchanges = [x for x in plan.splitlines() if "Exchange hashpartitioning" in x]
+    assert exchanges and all(f", {cores + 1})" in x for x in exchanges)
+
+
 def test_a_grid_cell_is_read_once_for_all_its_references(spark):
     plan = grid.grid_rows(spark.createDataFrame([], grid.WINDOW))._jdf.queryExecution().analyzed().toString()
     assert plan.count(".brnumber") == 1

@@ -19,6 +19,7 @@ from pyspark.sql.window import Window
 
 from worksight.functions import amounts as A
 from worksight.operators import documents as D
+from worksight.tables import spread
 
 SCHEDULE, SUPPLEMENT = "Schedule B", "Supplementary Schedule B"
 #: Shares of a bill's gross that its abstract may have, how near two quantities of one row are, and names of what is compared.
@@ -42,7 +43,8 @@ class Analysis:
 def _once(rows: DataFrame) -> DataFrame:
     """Rows of a job with the same code, quantity and rate: the first of them."""
     key = F.struct(F.coalesce("code", F.lit("")), F.round("quantity", 2), F.round("rate", 2))
-    return rows.groupBy("job", key.alias("__key")).agg(F.min_by(F.struct(*rows.columns), "position").alias("x")).select("x.*")
+    others = [c for c in rows.columns if c != "job"]
+    return rows.groupBy("job", key.alias("__key")).agg(F.min_by(F.struct(*others), "position").alias("x")).select("job", "x.*")
 
 
 def planned(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -57,7 +59,7 @@ def planned(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return main.drop("scheduled", "supplement"), rows.filter("supplement").groupBy("job").agg(F.count("*").alias("supplementary_items"))
 
 
-def read_bills(bills: DataFrame, rows: DataFrame) -> DataFrame:
+def read_bills(bills: DataFrame, rows: DataFrame, tasks: int | None = None) -> DataFrame:
     """bills with n (their order in the job), abstract_value, coverage, scope ("this bill", "cumulative" or NULL), and counted: whether rows of it count.
 
     bills: job, bill, bill_type, gross, date, paid. rows: job, bill, amount. Bills before the last cumulative one are part of it.
@@ -65,7 +67,7 @@ def read_bills(bills: DataFrame, rows: DataFrame) -> DataFrame:
     order = Window.partitionBy("job").orderBy(F.asc_nulls_last("date"), "bill")
     value = rows.groupBy("job", "bill").agg(F.sum("amount").alias("value"))
     gross = F.coalesce("gross", F.lit(0.0))
-    x = bills.join(value, ["job", "bill"], "left").withColumns({"n": F.row_number().over(order), "so_far": F.sum(gross).over(order)})
+    x = spread(spread(bills, tasks, "job", "bill").join(spread(value, tasks, "job", "bill"), ["job", "bill"], "left"), tasks, "job").withColumns({"n": F.row_number().over(order), "so_far": F.sum(gross).over(order)})
     share, of_all = F.try_divide("value", gross), F.try_divide("value", "so_far")
     known = (F.col("value") != 0) & (gross != 0)
     scope = F.when(known & share.between(*COVERED), "this bill").when(known & (F.col("so_far") > gross) & of_all.between(*COVERED), "cumulative")
@@ -94,20 +96,25 @@ def _taken(rows: Column) -> Column:
     return F.aggregate(rows, start, step)
 
 
-def planned_against_billed(plan_rows: DataFrame, bills: DataFrame, bill_rows: DataFrame, totals: DataFrame) -> Analysis:
+def planned_against_billed(plan_rows: DataFrame, bills: DataFrame, bill_rows: DataFrame, totals: DataFrame, tasks: int | None = None) -> Analysis:
     """The analysis of all jobs that have bills or a plan.
 
+    tasks: over how many its joins are dealt, for rows that come dealt by job over as many, which groups and windows of a job then use;
+    without it they are as many as the session says, whatever the size of the input.
+
     plan_rows: see planned(). bills: see read_bills(). bill_rows: job, bill, position, code, unit, quantity, rate, amount, description,
     to_date_quantity. totals: job, code, unit, total, of measurement sheets.
     """
     plan, supplements = planned(plan_rows)
     rows = _once(bill_rows)
-    read = read_bills(bills, rows)
+    read = read_bills(bills, rows, tasks)
+    of_bill, of_row, of_item = (lambda df, c=c: spread(df, tasks, "job", c) for c in ("bill", "row", "item"))
     order = read.select("job", "bill", "n", "counted", F.col("final").alias("final_bill"))
-    used = rows.join(order, ["job", "bill"]).filter("counted").withColumn("row", F.struct("n", "position"))
-    found = D.match_items(plan.select("job", "item", "code", "unit", "rate", "description"), used.select("job", "row", "code", "unit", "quantity", "rate", "description"))
+    used = of_bill(rows).join(of_bill(order), ["job", "bill"]).filter("counted").withColumn("row", F.struct("n", "position"))
+    found = D.match_items(plan.select("job", "item", "code", "unit", "rate", "description"), used.select("job", "row", "code", "unit", "quantity", "rate", "description"), tasks)
     found = found.select("job", "row", "item", "match", "swapped", F.col("quantity").alias("own_quantity"), F.col("rate").alias("own_rate"))
-    joined = used.join(found, ["job", "row"], "left").join(plan.select("job", "item", F.col("unit").alias("plan_unit")), ["job", "item"], "left")
+    joined = of_row(used).join(of_row(found), ["job", "row"], "left")
+    joined = of_item(joined).join(of_item(plan.select("job", "item", F.col("unit").alias("plan_unit"))), ["job", "item"], "left")
     in_plan = lambda q: F.when(F.col("unit").isNotNull() & F.col("plan_unit").isNotNull(), A.convert(q, F.col("unit"), F.col("plan_unit"))).otherwise(q)
     joined = joined.withColumns({"q": in_plan(F.col("own_quantity")), "to_date": in_plan(F.col("to_date_quantity"))})
     none = F.col("item").isNull() | F.col("q").isNull()
@@ -117,17 +124,18 @@ def planned_against_billed(plan_rows: DataFrame, bills: DataFrame, bill_rows: Da
     taken = taken.select("job", "item", "t.billed", F.col("t.amount").alias("billed_amount"), F.col("t.rate").alias("billed_rate"), "t.to_date", "t.bills", "t.repeated")
 
     sheets = totals.filter("total IS NOT NULL AND code IS NOT NULL").select("job", "code", F.col("unit").alias("sheet_unit"), "total")
-    measured = plan.select("job", "item", "code", F.col("unit").alias("plan_unit")).join(sheets, ["job", "code"])
+    measured = plan.select("job", "item", "code", F.col("unit").alias("plan_unit"))
+    measured = spread(measured, tasks, "job", "code").join(spread(sheets, tasks, "job", "code"), ["job", "code"])
     total = F.when(F.col("sheet_unit").isNotNull() & F.col("plan_unit").isNotNull(), A.convert(F.col("total"), F.col("sheet_unit"), F.col("plan_unit"))).otherwise(F.col("total"))
-    measured = measured.groupBy("job", "item").agg(F.round(F.max(total), 3).alias("measured_quantity"))
+    measured = of_item(measured).groupBy("job", "item").agg(F.round(F.max(total), 3).alias("measured_quantity"))
 
-    x = plan.join(taken, ["job", "item"], "left").join(measured, ["job", "item"], "left")
+    x = of_item(plan).join(taken, ["job", "item"], "left").join(measured, ["job", "item"], "left")
     dated = F.col("to_date").isNotNull() & (F.col("billed").isNull() | (F.col("to_date") >= F.col("billed") - 0.01))
     x = x.withColumns({"billed_quantity": F.when(dated, F.col("to_date")).otherwise(F.col("billed")), "last_bill": F.try_element_at("bills", F.lit(-1))["bill"]})
     got = F.coalesce("measured_quantity", "billed_quantity")
     basis = F.when(F.col("measured_quantity").isNotNull(), MEASURED).when(dated, UP_TO_DATE).when(got.isNotNull(), SUMMED)
     finals = order.select("job", F.col("bill").alias("last_bill"), "final_bill")
-    x = x.join(finals, ["job", "last_bill"], "left")
+    x = spread(x, tasks, "job", "last_bill").join(spread(finals, tasks, "job", "last_bill"), ["job", "last_bill"], "left")
     gap = F.when(F.col("quantity") != 0, F.round((got - F.col("quantity")) / F.col("quantity") * 100, 1))
     items = x.select(
         "job", "item", "description", D.item_category(F.col("description")).alias("category"), "code", "unit", F.col("quantity").alias("estimated_quantity"), F.col("rate").alias("estimated_rate"),

@@ -12,7 +12,7 @@ from worksight.operators import scope as S
 from worksight.operators import work_slips as W
 from worksight.registry import Registry
 from worksight.sources import plans as L
-from worksight.tables import table
+from worksight.tables import spread, table
 
 R = Registry()
 AREA = S.Area("Greenfield", "greenfield", r"green\s*field", {"198": ["151"], "243": ["186"]})
@@ -94,7 +94,9 @@ SELECT job, item::INT AS item, billed AS billed_quantity, measured AS measured_q
 )
 def planned_against_billed_items(spark, d):
     """Planned items of jobs against their bills: cumulative bills, repeated rows, columns up to date and measured totals."""
-    table(spark, d, "customer").createOrReplaceTempView("archive_customer")
+    n = -(-table(spark, d, "customer").count() // 5_000)  # a job has nine billed rows
+    tasks = n if n > spark.sparkContext.defaultParallelism else None
+    spread(table(spark, d, "customer").select("c_custkey"), tasks, "c_custkey").createOrReplaceTempView("archive_customer")
     text = _JOBS.replace("FROM customer", "FROM archive_customer").format(items="LATERAL VIEW explode(sequence(0, 2)) g AS i", bills="LATERAL VIEW explode(sequence(0, 2)) h AS b")
     read = lambda what: spark.sql(f"{text} SELECT * FROM {what}")
     code, words, none = F.concat(F.lit("SR "), F.col("i") + 1), F.element_at(F.array(*map(F.lit, ("tack coat", "kerb stones", "granite slabs"))), F.col("i") + 1), F.lit(None)
@@ -102,7 +104,7 @@ def planned_against_billed_items(spark, d):
     rows = read("billed").select(F.col("k").alias("job"), F.col("b").cast("string").alias("bill"), (F.col("b") * 3 + F.col("i")).alias("position"), code.alias("code"), F.lit("sqm").alias("unit"), F.col("x").alias("quantity"), "rate", (F.col("x") * F.col("rate")).alias("amount"), words.alias("description"), F.col("to_date").alias("to_date_quantity"))
     bills = read("gross").select(F.col("k").alias("job"), F.col("b").cast("string").alias("bill"), F.lit("Running").alias("bill_type"), "gross", none.cast("date").alias("date"), F.lit(True).alias("paid"))
     totals = read("plan").filter("k % 4 = 0 AND i = 1").select(F.col("k").alias("job"), code.alias("code"), F.lit("sqm").alias("unit"), F.round(F.col("q") * 1.1, 3).alias("total"))
-    items = Q.planned_against_billed(plan, bills, rows, totals).items
+    items = Q.planned_against_billed(plan, bills, rows, totals, tasks).items
     return items.select("job", "item", "billed_quantity", "measured_quantity", "compared_quantity", "compared_basis", F.size("bills").alias("n_bills"), "variance_pct")
 
 
