@@ -55,3 +55,23 @@ def test_tasks_of_planned_items_grow_with_the_jobs(spark, tmp_path):
 def test_a_grid_cell_is_read_once_for_all_its_references(spark):
     plan = grid.grid_rows(spark.createDataFrame([], grid.WINDOW))._jdf.queryExecution().analyzed().toString()
     assert plan.count(".brnumber") == 1
+
+
+def test_exploded_finds_each_struct_once(spark):
+    from pyspark.sql import functions as F
+
+    from worksight.operators import facts as O
+    from worksight.tables import exploded
+
+    df = spark.createDataFrame([(1, 5), (2, None), (None, 7)], "k long, x long")
+    one = lambda name, c: F.when(c.isNotNull(), F.struct(F.lit(name).alias("name"), c.alias("value")))
+    out = exploded(df, "k", [one("a", F.col("x")), one("b", F.col("x") + 1), one("c", F.col("k"))])
+    assert sorted(out.collect(), key=str) == sorted([(1, "a", 5), (1, "b", 6), (1, "c", 1), (2, "c", 2), (None, "a", 7), (None, "b", 8)], key=str)
+    plan = exploded(df.repartition(2), "k", [one("a", F.col("x"))])._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode(__each" in plan and "filter(" not in plan and "lambda" not in plan  # explode(array(...)) and array_compact interpret what they are given
+    works = spark.createDataFrame([(1, "Road", [], [], "j")], "work long, title string, locations array<string>, wards array<string>, job_number string")
+    bills = spark.createDataFrame([], "work long, contractor string, gross double, nett double, dedupe_key string, payment_date date, br_date date, wo_date date, wo_no string, start_date date, end_date date, bill_type string, source_id string, source_row int")
+    links = spark.createDataFrame([], "work long, base string, source string, exact boolean, score double, via string, tender_number string, call int, published_date date, status string, status_text string, ecv double, provisional_amount double, period_days int, period_text string, contractor string, contract_value double, negotiated_value double, awarded_date date, bidders array<struct<name string>>")
+    every = O.base_facts(works, bills, links).collect()
+    assert sorted(O.base_facts(works, bills, links, fields=("payments_gross", "description", "n_bills")).collect(), key=str) == sorted((r for r in every if r.field in ("payments_gross", "description")), key=str)
+    assert len(every) > 2

@@ -8,10 +8,14 @@ value is unknown; later layers replace a field as a whole. Empty text and NULL a
 
 from __future__ import annotations
 
+from collections.abc import Collection
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from worksight.tables import exploded
+
 FACT = "field string, stage string, value string, confidence string, explanation string, via string, evidence array<string>"
 #: Which source's tender is primary among equals, and those that are plans.
 SOURCE_RANK = {"portal": 0, "tender-list": 1}
@@ -89,10 +93,11 @@ def tender_facts(links: DataFrame) -> DataFrame:
     return per.join(plan, "work", "full")
 
 
-def base_facts(works: DataFrame, bills: DataFrame, links: DataFrame, estimates: DataFrame | None = None, sanctions: DataFrame | None = None) -> DataFrame:
+def base_facts(works: DataFrame, bills: DataFrame, links: DataFrame, estimates: DataFrame | None = None, sanctions: DataFrame | None = None, fields: Collection[str] | None = None) -> DataFrame:
     """(work, field, ...) of works (work, title, locations, wards, job_number).
 
     estimates: job_number, estimate, ref. sanctions: job_number, ecv, fy, office, ref; of several the last by ref counts.
+    fields: those to find; all without it.
     """
     spark = works.sparkSession
     estimates = estimates if estimates is not None else spark.createDataFrame([], "job_number string, estimate double, ref string")
@@ -100,8 +105,8 @@ def base_facts(works: DataFrame, bills: DataFrame, links: DataFrame, estimates:
     e = estimates.groupBy("job_number").agg(F.max(F.struct("ref", "estimate")).alias("e"))
     s = sanctions.groupBy("job_number").agg(F.max(F.struct("ref", "ecv", "fy", "office")).alias("s"))
     b, t = bill_facts(bills), tender_facts(links)
-    x = works.join(b.select("work", F.struct(*(c for c in b.columns if c != "work")).alias("b")), "work", "left").join(t.select("work", F.struct(*(c for c in t.columns if c != "work")).alias("t")), "work", "left")
-    x = x.join(e, "job_number", "left").join(s, "job_number", "left")
+    x = works.join(e, "job_number", "left").join(s, "job_number", "left")  # while rows are narrow
+    x = x.join(b.select("work", F.struct(*(c for c in b.columns if c != "work")).alias("b")), "work", "left").join(t.select("work", F.struct(*(c for c in t.columns if c != "work")).alias("t")), "work", "left")
     col, lit = F.col, F.lit
     billed, tendered = F.coalesce(col("b.n") > 0, lit(False)), col("t.last").isNotNull()
     sure = F.when(F.coalesce(col("t.exact"), lit(False)), "confirmed").otherwise("inferred")
@@ -115,49 +120,50 @@ def base_facts(works: DataFrame, bills: DataFrame, links: DataFrame, estimates:
     portal_state = F.coalesce(F.when(col("t.last.status") == "AWARDED", "Tender awarded").when(col("t.last.status") == "UNDER_EVALUATION", "Tender under evaluation"), col("t.last.status_text"))
     repeat = F.when(col("b.exact"), "").otherwise("; some rows were de-duplicated by matching amounts, so the total may include a repeat")
     others = F.slice(col("b.payees"), 2, 3)
-    rules: list[Column] = [
-        _fact("description", "planned", col("title"), "confirmed", "Work description as written in the source record", F.slice(refs, 1, 1)),
-        F.when(F.size("locations") > 0, _fact("location", "planned", F.array_join("locations", "; "), "inferred", "Place names read from the work description text")).otherwise(_unknown("location", "planned", "No place name could be read from the description")),
-        F.when(F.size("wards") > 0, _fact("ward", "planned", F.array_join("wards", ", "), "confirmed", "Ward the bills are booked to", F.slice(refs, 1, 3))),
-        F.when(col("e").isNotNull(), _fact("estimated_cost", "planned", col("e.estimate"), "confirmed", "Estimate on the job code", one(col("e.ref"))))
+    rules: dict[str, Column] = {
+        "description": _fact("description", "planned", col("title"), "confirmed", "Work description as written in the source record", F.slice(refs, 1, 1)),
+        "location": F.when(F.size("locations") > 0, _fact("location", "planned", F.array_join("locations", "; "), "inferred", "Place names read from the work description text")).otherwise(_unknown("location", "planned", "No place name could be read from the description")),
+        "ward": F.when(F.size("wards") > 0, _fact("ward", "planned", F.array_join("wards", ", "), "confirmed", "Ward the bills are booked to", F.slice(refs, 1, 3))),
+        "estimated_cost": F.when(col("e").isNotNull(), _fact("estimated_cost", "planned", col("e.estimate"), "confirmed", "Estimate on the job code", one(col("e.ref"))))
         .when(_some(col("s.ecv")).isNotNull(), _fact("estimated_cost", "planned", col("s.ecv"), "confirmed", F.concat(lit("Estimate on the ward works list FY "), F.coalesce(col("s.fy"), lit("")), lit(" for this job code")), one(col("s.ref"))))
         .when(col("t.ecv").isNotNull(), _fact("estimated_cost", "planned", col("t.ecv.ecv"), sure, "Estimated contract value in the tender", one(col("t.ecv.ref")), via))
         .otherwise(_unknown("estimated_cost", "planned", "No estimate published for this work in the sources used")),
-        F.when(col("t.provisional").isNotNull(), _fact("provisional_amount", "planned", col("t.provisional.provisional_amount"), sure, "Provisional amount in the tender schedule", one(col("t.provisional.ref")), via)),
-        F.when(tendered, _fact("tender_published", "planned", col("t.first.published_date"), sure, "Date the first call of the tender was published", one(col("t.first.ref")), via)).otherwise(_unknown("tender_published", "planned", "No tender found or matched for this work")),
-        F.when(tendered, _fact("tender_calls", "planned", col("t.calls"), sure, F.when(col("t.calls") > 1, "Number of times the tender was called").otherwise("Tender awarded or listed on its first call"), one(col("t.first.ref")), via)),
-        F.when(period.isNotNull(), _fact("period_days", "planned", col("t.period.period_days"), sure, F.concat(lit("Stipulated period of completion (“"), F.coalesce(col("t.period.period_text"), lit("")), lit("”)")), one(col("t.period.ref")), via))
+        "provisional_amount": F.when(col("t.provisional").isNotNull(), _fact("provisional_amount", "planned", col("t.provisional.provisional_amount"), sure, "Provisional amount in the tender schedule", one(col("t.provisional.ref")), via)),
+        "tender_published": F.when(tendered, _fact("tender_published", "planned", col("t.first.published_date"), sure, "Date the first call of the tender was published", one(col("t.first.ref")), via)).otherwise(_unknown("tender_published", "planned", "No tender found or matched for this work")),
+        "tender_calls": F.when(tendered, _fact("tender_calls", "planned", col("t.calls"), sure, F.when(col("t.calls") > 1, "Number of times the tender was called").otherwise("Tender awarded or listed on its first call"), one(col("t.first.ref")), via)),
+        "period_days": F.when(period.isNotNull(), _fact("period_days", "planned", col("t.period.period_days"), sure, F.concat(lit("Stipulated period of completion (“"), F.coalesce(col("t.period.period_text"), lit("")), lit("”)")), one(col("t.period.ref")), via))
         .otherwise(_unknown("period_days", "planned", F.when(tendered, "Tender document not available or period not stated").otherwise("No tender document found or matched"))),
-        F.when(col("s").isNotNull(), _fact("sanctioned", "planned", F.coalesce(F.concat(lit("FY "), _text(col("s.fy"))), lit("listed")), "confirmed", "Listed with this job code on the ward works list", one(col("s.ref")))),
-        F.when(col("t.plan").isNotNull(), _fact("planned_amount", "planned", col("t.plan.ecv"), "inferred", "Amount in the plan", None, col("t.plan.via"))),
-        F.when(_text(col("t.plan.status_text")).isNotNull(), _fact("plan_status", "planned", col("t.plan.status_text"), "inferred", "Approval status at the time of the document", None, col("t.plan.via"))),
-        F.when(F.size(col("b.payees")) > 0, _fact("contractor", "awarded", F.element_at(col("b.payees"), 1), "confirmed", F.concat(lit("Payee with the largest billed amount under this job number"), F.when(F.size(others) > 0, F.concat(lit("; also billed: "), F.array_join(others, ", "))).otherwise(""), F.coalesce(F.concat(lit(". Tender awarded to: "), col("t.award.contractor")), lit(""))), refs))
+        "sanctioned": F.when(col("s").isNotNull(), _fact("sanctioned", "planned", F.coalesce(F.concat(lit("FY "), _text(col("s.fy"))), lit("listed")), "confirmed", "Listed with this job code on the ward works list", one(col("s.ref")))),
+        "planned_amount": F.when(col("t.plan").isNotNull(), _fact("planned_amount", "planned", col("t.plan.ecv"), "inferred", "Amount in the plan", None, col("t.plan.via"))),
+        "plan_status": F.when(_text(col("t.plan.status_text")).isNotNull(), _fact("plan_status", "planned", col("t.plan.status_text"), "inferred", "Approval status at the time of the document", None, col("t.plan.via"))),
+        "contractor": F.when(F.size(col("b.payees")) > 0, _fact("contractor", "awarded", F.element_at(col("b.payees"), 1), "confirmed", F.concat(lit("Payee with the largest billed amount under this job number"), F.when(F.size(others) > 0, F.concat(lit("; also billed: "), F.array_join(others, ", "))).otherwise(""), F.coalesce(F.concat(lit(". Tender awarded to: "), col("t.award.contractor")), lit(""))), refs))
         .when(col("t.award").isNotNull(), _fact("contractor", "awarded", col("t.award.contractor"), sure, "Awarded (selected) bidder on the tender", one(col("t.award.ref")), via))
         .otherwise(_unknown("contractor", "awarded", "No contractor named in any source yet")),
-        F.when(value.isNotNull(), _fact("contract_value", "awarded", value, sure, F.when(_some(col("t.award.negotiated_value")).isNotNull(), "Negotiated value of the awarded bid").otherwise("Quoted value of the awarded bid"), one(col("t.award.ref")), via))
+        "contract_value": F.when(value.isNotNull(), _fact("contract_value", "awarded", value, sure, F.when(_some(col("t.award.negotiated_value")).isNotNull(), "Negotiated value of the awarded bid").otherwise("Quoted value of the awarded bid"), one(col("t.award.ref")), via))
         .otherwise(_unknown("contract_value", "awarded", F.when(_text(col("t.last.status")).isNotNull() & (col("t.last.status") != "AWARDED"), "Tender not yet awarded").otherwise("Contract value is not published in bill data and no awarded tender was matched"))),
-        F.when(awarded.isNotNull(), _fact("awarded_date", "awarded", awarded, sure, "Tender award date", one(col("t.award.ref")), via)),
-        F.when(col("t.bids").isNotNull(), _fact("bidders", "awarded", col("t.bids.n"), sure, "Bidders in the comparative statement", one(col("t.bids.ref")), via)),
-        F.when(order_date.isNotNull(), _fact("work_order_date", "awarded", order_date, "confirmed", F.concat(lit("Work order date on the bill (order no. "), F.coalesce(_text(col("b.order_.wo_no")), lit("n/a")), lit(")")), one(col("b.order_.ref")))),
-        F.when(col("b.n_gross") > 0, _fact("payments_gross", "money", col("b.gross"), paid_sure, F.concat(lit("Sum of "), col("b.n_gross").cast("string"), lit(" bill(s) under the job number"), repeat), refs)).otherwise(_unknown("payments_gross", "money", "No bill or payment for this work found in published data")),
-        F.when((col("b.n_gross") > 0) & (col("b.n_nett") > 0), _fact("payments_nett", "money", col("b.nett"), paid_sure, "Gross minus statutory deductions", refs)),
-        F.when((col("b.n_gross") > 0) & col("b.first_paid").isNotNull(), _fact("first_payment", "money", col("b.first_paid"), "confirmed", "Earliest payment date", F.slice(refs, 1, 1))),
-        F.when((col("b.n_gross") > 0) & col("b.last_paid").isNotNull(), _fact("last_payment", "money", col("b.last_paid"), "confirmed", "Latest payment date", F.slice(refs, 1, 1))),
-        F.when(col("b.n_gross") > 0, _fact("n_bills", "money", col("b.n"), "confirmed", "Unique bills after merging duplicates across exports", refs)),
-        F.when((col("b.n_gross") > 0) & value.isNotNull(), _fact("paid_vs_contract", "money", F.round(total / value, 3), "inferred", F.concat(lit("Gross paid ÷ contract value (contract value is "), sure, lit(")")), one(col("t.award.ref")), via)),
-        F.when(col("b.start").isNotNull(), _fact("start_date", "outcome", col("b.start.start_date"), "confirmed", "Work start date on the bill", one(col("b.start.ref")))).otherwise(_unknown("start_date", "outcome", "Actual start date is not published")),
-        F.when(final.isNotNull(), _fact("final_bill", "outcome", col("b.final.value"), "confirmed", F.concat(lit("A bill of type “"), col("b.final.bill_type"), lit("” exists")), one(col("b.final.ref")))),
-        F.when(final.isNotNull(), _fact("status", "outcome", lit(FINAL), "inferred", "Inferred from the final bill, which is raised when measurement of the completed work is recorded", one(col("b.final.ref"))))
+        "awarded_date": F.when(awarded.isNotNull(), _fact("awarded_date", "awarded", awarded, sure, "Tender award date", one(col("t.award.ref")), via)),
+        "bidders": F.when(col("t.bids").isNotNull(), _fact("bidders", "awarded", col("t.bids.n"), sure, "Bidders in the comparative statement", one(col("t.bids.ref")), via)),
+        "work_order_date": F.when(order_date.isNotNull(), _fact("work_order_date", "awarded", order_date, "confirmed", F.concat(lit("Work order date on the bill (order no. "), F.coalesce(_text(col("b.order_.wo_no")), lit("n/a")), lit(")")), one(col("b.order_.ref")))),
+        "payments_gross": F.when(col("b.n_gross") > 0, _fact("payments_gross", "money", col("b.gross"), paid_sure, F.concat(lit("Sum of "), col("b.n_gross").cast("string"), lit(" bill(s) under the job number"), repeat), refs)).otherwise(_unknown("payments_gross", "money", "No bill or payment for this work found in published data")),
+        "payments_nett": F.when((col("b.n_gross") > 0) & (col("b.n_nett") > 0), _fact("payments_nett", "money", col("b.nett"), paid_sure, "Gross minus statutory deductions", refs)),
+        "first_payment": F.when((col("b.n_gross") > 0) & col("b.first_paid").isNotNull(), _fact("first_payment", "money", col("b.first_paid"), "confirmed", "Earliest payment date", F.slice(refs, 1, 1))),
+        "last_payment": F.when((col("b.n_gross") > 0) & col("b.last_paid").isNotNull(), _fact("last_payment", "money", col("b.last_paid"), "confirmed", "Latest payment date", F.slice(refs, 1, 1))),
+        "n_bills": F.when(col("b.n_gross") > 0, _fact("n_bills", "money", col("b.n"), "confirmed", "Unique bills after merging duplicates across exports", refs)),
+        "paid_vs_contract": F.when((col("b.n_gross") > 0) & value.isNotNull(), _fact("paid_vs_contract", "money", F.round(total / value, 3), "inferred", F.concat(lit("Gross paid ÷ contract value (contract value is "), sure, lit(")")), one(col("t.award.ref")), via)),
+        "start_date": F.when(col("b.start").isNotNull(), _fact("start_date", "outcome", col("b.start.start_date"), "confirmed", "Work start date on the bill", one(col("b.start.ref")))).otherwise(_unknown("start_date", "outcome", "Actual start date is not published")),
+        "final_bill": F.when(final.isNotNull(), _fact("final_bill", "outcome", col("b.final.value"), "confirmed", F.concat(lit("A bill of type “"), col("b.final.bill_type"), lit("” exists")), one(col("b.final.ref")))),
+        "status": F.when(final.isNotNull(), _fact("status", "outcome", lit(FINAL), "inferred", "Inferred from the final bill, which is raised when measurement of the completed work is recorded", one(col("b.final.ref"))))
         .when(running.isNotNull(), _fact("status", "outcome", lit(RUNNING), "inferred", "Latest bill is a part (running) bill; no final bill in the published data", one(col("b.running.ref"))))
         .when(billed, _fact("status", "outcome", lit(PAID), "inferred", "Bills were paid but these exports do not record bill type or completion", refs))
         .when(tendered, _fact("status", "outcome", portal_state, sure, "Tender status on the procurement portal; no bill found yet", one(col("t.first.ref")), via)),
-        F.when(final.isNotNull() & _text(col("b.final.end")).isNotNull(), _fact("completion_date", "outcome", col("b.final.end"), "confirmed", "Work end date recorded on the final bill", one(col("b.final.ref"))))
+        "completion_date": F.when(final.isNotNull() & _text(col("b.final.end")).isNotNull(), _fact("completion_date", "outcome", col("b.final.end"), "confirmed", "Work end date recorded on the final bill", one(col("b.final.ref"))))
         .when(final.isNotNull(), _unknown("completion_date", "outcome", "Final bill does not carry an end date")).when(running.isNotNull(), _unknown("completion_date", "outcome", "No final bill found"))
         .when(billed, _unknown("completion_date", "outcome", "Not published")).when(tendered, _unknown("completion_date", "outcome", "No bills yet")),
-        F.when(period.isNotNull() & start.isNotNull(), _fact("expected_completion", "outcome", F.date_add(start, period.cast("int")), "inferred", F.concat(start.cast("string"), lit(" + "), period.cast("int").cast("string"), lit(" days stipulated period; the contractual start is not published, so this is approximate")), one(col("t.period.ref")), via))
+        "expected_completion": F.when(period.isNotNull() & start.isNotNull(), _fact("expected_completion", "outcome", F.date_add(start, period.cast("int")), "inferred", F.concat(start.cast("string"), lit(" + "), period.cast("int").cast("string"), lit(" days stipulated period; the contractual start is not published, so this is approximate")), one(col("t.period.ref")), via))
         .when(period.isNotNull(), _unknown("expected_completion", "outcome", "No award or work-order date to count the stipulated period from")).otherwise(_unknown("expected_completion", "outcome", "Stipulated period of completion not found in any public record")),
-    ]
-    return x.select("work", F.explode(F.array_compact(F.array(*rules))).alias("f")).select("work", "f.*")
+    }
+    wanted = [rule for field, rule in rules.items() if fields is None or field in fields]
+    return exploded(x, "work", wanted)
 
 
 def overlaid(facts: DataFrame, *layers: DataFrame) -> DataFrame:

@@ -102,7 +102,7 @@ def fact_catalogue(spark, d):
     works = table(spark, d, "orders").select(F.col("o_orderkey").alias("work"), F.col("o_orderpriority").alias("title"), lists.alias("locations"), lists.alias("wards"), F.col("o_orderkey").cast("string").alias("job_number"))
     links = spark.createDataFrame([], "work long, base string, source string, exact boolean, score double, via string, tender_number string, call int, published_date date, status string, status_text string, ecv double, provisional_amount double, period_days int, period_text string, contractor string, contract_value double, negotiated_value double, awarded_date date, bidders array<struct<name string>>")
     wanted = ("payments_gross", "n_bills", "first_payment", "last_payment", "final_bill", "status", "completion_date", "estimated_cost")
-    return base_facts(works, bills, links).filter(F.col("field").isin(*wanted)).select("work", "field", "value", "confidence")
+    return base_facts(works, bills, links, fields=wanted).select("work", "field", "value", "confidence")
 
 
 @R.query("""WITH b AS (SELECT l_orderkey, l_suppkey, min(l_linenumber) AS r FROM lineitem GROUP BY 1, 2), n AS (SELECT l_orderkey, count(*) AS n FROM b GROUP BY 1)
