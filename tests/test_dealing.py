@@ -75,3 +75,32 @@ def test_exploded_finds_each_struct_once(spark):
     every = O.base_facts(works, bills, links).collect()
     assert sorted(O.base_facts(works, bills, links, fields=("payments_gross", "description", "n_bills")).collect(), key=str) == sorted((r for r in every if r.field in ("payments_gross", "description")), key=str)
     assert len(every) > 2
+
+
+def test_signals_of_facts_in_rows_and_in_a_map(spark):
+    from worksight.operators import signals as S
+
+    told = {"paid_vs_contract": "1.7", "payments_gross": "17", "contract_value": "10", "work_order_date": "2020-01-01", "last_payment": "2024-01-01"}
+    facts = spark.createDataFrame([(1, k, v, "confirmed") for k, v in told.items()], "project_id long, field string, value string, confidence string")
+    days = ["2020-05-01"] * 3 + ["2020-07-01", "2020-08-01", None]
+    bills = spark.createDataFrame([(k, "Final bill" if x == "2020-07-01" else "Running bill", x, x, None, 2.0, 1.0) for k in (1, 2) for x in days], "project_id long, bill_type string, br_date string, payment_date string, end_date string, gross double, deduction double")
+    bills = bills.selectExpr("project_id", "bill_type", "date(br_date) br_date", "date(payment_date) payment_date", "date(end_date) end_date", "cast(gross as decimal(18,2)) gross", "deduction")
+    by_rows, by_map = (S.project_signals(f, bills, "2026-10-05", "2026-03-31") for f in (facts, S.facts_map(facts)))
+    got = {(r.project_id, r.code): r.measure for r in by_rows.collect()}
+    assert got == {(r.project_id, r.code): r.measure for r in by_map.collect()}
+    assert got[1, "payment_burst"] == got[2, "payment_burst"] == 3 and got[1, "bills_after_final"] == 1 and got[1, "paid_over_contract"] == 1.7 and (1, "long_running") in got
+    assert S.bill_sums(bills)._jdf.queryExecution().optimizedPlan().toString().count("Join") == 0  # a work's bills are read once
+
+
+def test_bills_of_both_builds_are_grouped_once(spark):
+    from worksight.operators import changes as C
+
+    P, B, S = "slug string, title string, status string, payments_gross double", "slug string, job_number string, bill_type string, gross double, br_no string, br_date string, payment_date string, contractor string", "slug string, code string"
+    bill = lambda job, paid, gross=5.0: ("w", job, "bill", gross, "1", "2020-01-01", paid, None)
+    side = lambda rows: {"projects": spark.createDataFrame([], P), "bills": spark.createDataFrame(rows, B), "signals": spark.createDataFrame([], S), "finals": spark.createDataFrame([], "slug string, value string")}
+    old = side([bill("a", None), bill(None, None), bill("b", "2020-02-01"), bill("gone", None)])
+    new = side([bill("a", "2020-03-01"), bill("a", None), bill(None, "2020-04-01", 5.2), bill("b", "2020-02-01"), bill("c", None), bill("c", "2020-05-01")])
+    found = C.changes(old, new)
+    assert sorted((r.kind, r.now, r.amount) for r in found.collect()) == [("new_bill", "2020-05-01", 5.0), ("newly_paid", "2020-03-01", 5.0), ("newly_paid", "2020-04-01", 5.2)]
+    plan = C.changes({k: v.repartition(2) for k, v in old.items()}, {k: v.repartition(2) for k, v in new.items()})._jdf.queryExecution().optimizedPlan().toString()
+    assert "job_number" in plan and not any("Join" in x and "bill" in x for x in plan.splitlines())

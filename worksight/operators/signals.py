@@ -10,6 +10,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from worksight.tables import exploded
 
 # Thresholds of the rules.
 OVER_CONTRACT, FAR_OVER_CONTRACT, OVER_ESTIMATE = 1.25, 1.6, 1.25
@@ -22,6 +25,9 @@ SLOW_DAYS, BURST, LARGE_DEDUCTION, LATE_LEAST, LATE_DAYS = 365, 3, 0.3, 100_000,
 RUNNING_ONLY = "Running bill only (no final bill found)"
 
 CONFIDENCE = ("confirmed", "inferred", "unknown")
+#: Facts that are read as numbers and as days.
+NUMBERS = ("paid_vs_contract", "payments_gross", "contract_value", "estimated_cost", "period_days", "tender_calls", "bidders", "placeholder_photos", "partial_release", "bill_to_payment_days")
+DAYS = ("work_order_date", "awarded_date", "first_payment", "last_payment", "commencement_date", "start_date", "completion_date", "extended_completion", "expected_completion", "completion_due")
 
 
 def facts_map(facts: DataFrame) -> DataFrame:
@@ -31,6 +37,13 @@ def facts_map(facts: DataFrame) -> DataFrame:
     return one.groupBy("project_id").agg(F.map_from_entries(F.collect_list(F.struct("field", "f"))).alias("facts"))
 
 
+def _read(rows: DataFrame) -> DataFrame:
+    """Rows with number_ and day_ columns: each fact is read once, however many rules and measures ask for it."""
+    text = lambda k: F.nullif(F.try_element_at("facts", F.lit(k))["value"], F.lit(""))
+    numbers = {f"number_{k}": F.nullif(text(k).try_cast("double"), F.lit(0.0)) for k in NUMBERS}
+    return rows.withColumns(numbers | {f"day_{k}": F.try_to_date(F.substring(text(k), 1, 10), "yyyy-MM-dd") for k in DAYS})
+
+
 def bill_sums(bills: DataFrame) -> DataFrame:
     """What the rules need from the bills of a work, one row each."""
     final = F.coalesce(F.lower("bill_type").contains("final"), F.lit(False))
@@ -38,25 +51,25 @@ def bill_sums(bills: DataFrame) -> DataFrame:
     late = F.datediff("payment_date", "end_date")
     year_end = (F.month("payment_date") == 3) & (F.dayofmonth("payment_date") >= 15)
     large = F.when(F.col("deduction") > LARGE_DEDUCTION * F.col("gross"), F.col("deduction"))
-    per = b.groupBy("project_id").agg(
+    # a work's bills are sorted once, by the day of payment; windows spill where one has very many
+    of_work = Window.partitionBy("project_id")
+    b = b.withColumns({"same_day": F.when(F.col("payment_date").isNotNull(), F.count("*").over(Window.partitionBy("project_id", "payment_date"))), "final_date": F.min(F.when(F.col("final"), F.coalesce("registered", F.lit("9999-12-31").cast("date")))).over(of_work)})
+    after = ~F.col("final") & (F.col("br_date") > F.col("final_date"))
+    return b.groupBy("project_id").agg(
         F.count("*").alias("n_bills"), F.sum(F.when(F.col("payment_date").isNotNull(), F.col("gross"))).cast("double").alias("dated"), F.sum(F.when(year_end, F.col("gross"))).cast("double").alias("march"),
         F.max(F.when(F.col("gross") != 0, large)).cast("double").alias("large"), F.max(late).alias("latest"), F.min("payment_date").alias("first_paid"),
-        F.coalesce(F.bool_or(F.col("bill_type").isNotNull() & (F.col("bill_type") != "")), F.lit(False)).alias("typed"), F.min(F.when(F.col("final"), F.coalesce("registered", F.lit("9999-12-31").cast("date")))).alias("final_date"),
+        F.coalesce(F.bool_or(F.col("bill_type").isNotNull() & (F.col("bill_type") != "")), F.lit(False)).alias("typed"), F.max("same_day").alias("burst"), F.sum(F.when(after, 1)).alias("after_final"),
     )
-    by_day = b.filter("payment_date IS NOT NULL").groupBy("project_id", "payment_date").agg(F.count("*").alias("n"))
-    burst = by_day.groupBy("project_id").agg(F.max("n").alias("burst"))
-    running = b.filter("NOT final AND br_date IS NOT NULL").groupBy("project_id", "br_date").agg(F.count("*").alias("n"))
-    after = running.join(per.select("project_id", "final_date"), "project_id").filter("br_date > final_date").groupBy("project_id").agg(F.sum("n").alias("after_final"))
-    return per.join(burst, "project_id", "left").join(after, "project_id", "left")
 
 
 def project_signals(facts: DataFrame, bills: DataFrame, today: str, data_end: str) -> DataFrame:
-    """project_id, code, severity, confidence, measure."""
-    rows = facts_map(facts).join(bill_sums(bills), "project_id", "full")
+    """project_id, code, severity, confidence, measure. facts: rows as above, or one row a work with the map that facts_map makes of them."""
+    held = facts if "facts" in facts.columns else facts_map(facts)
+    rows = _read(held).join(bill_sums(bills), "project_id", "full")
     got = lambda k: F.try_element_at("facts", F.lit(k))
     text = lambda k: F.nullif(got(k)["value"], F.lit(""))
-    number = lambda k: F.nullif(text(k).try_cast("double"), F.lit(0.0))
-    day = lambda k: F.try_to_date(F.substring(text(k), 1, 10), "yyyy-MM-dd")
+    number = lambda k: F.col(f"number_{k}")
+    day = lambda k: F.col(f"day_{k}")
     days = lambda a, b: F.datediff(a, b).cast("double")
 
     def confidence(*fields: str) -> Column:
@@ -104,4 +117,4 @@ def project_signals(facts: DataFrame, bills: DataFrame, today: str, data_end: st
         ("late_payment", "info", (paid >= LATE_LEAST) & (F.col("latest") > LATE_DAYS), sure, F.col("latest").cast("double")),
     ]
     hits = [F.when(when, F.struct(F.lit(code).alias("code"), (F.lit(severity) if isinstance(severity, str) else severity).alias("severity"), sureness.alias("confidence"), measure.alias("measure"))) for code, severity, when, sureness, measure in rules]
-    return rows.select("project_id", F.explode(F.array_compact(F.array(*hits))).alias("s")).select("project_id", "s.*")
+    return exploded(rows, "project_id", hits)
