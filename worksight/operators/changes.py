@@ -30,10 +30,10 @@ def _change(df: DataFrame, kind: str | Column, key: Column, was: Column | None =
 
 
 def _bills(df: DataFrame) -> DataFrame:
-    """One row for each job, bill number, date and rounded amount; which of several is kept does not depend on their order."""
+    """Each bill with its job, number, date and rounded amount, by which it is the same bill; of several the greatest row is kept, whatever their order."""
     key = F.struct("job_number", F.coalesce("br_no", F.lit("")).alias("br_no"), F.coalesce(F.col("br_date").cast("string"), F.lit("")).alias("br_date"), F.bround(F.coalesce(F.col("gross").cast("double"), F.lit(0.0)), 0).alias("rupees"))
     row = F.struct(F.col("payment_date").cast("string").alias("payment_date"), F.col("gross").cast("double").alias("gross"), "slug", "bill_type", "contractor")
-    return df.groupBy(key.alias("bill")).agg(F.max(row).alias("r"))
+    return df.select(key.alias("bill"), row.alias("r"))
 
 
 def changes(old: Mapping[str, DataFrame], new: Mapping[str, DataFrame]) -> DataFrame:
@@ -45,9 +45,11 @@ def changes(old: Mapping[str, DataFrame], new: Mapping[str, DataFrame]) -> DataF
         _change(p.filter("n IS NULL"), "project_dropped", F.col("slug"), note=F.col("o.title")),
         _change(p.filter(F.col("o").isNotNull() & F.col("n").isNotNull() & (state("o.status") != state("n.status"))), "status", F.col("slug"), F.col("o.status"), F.col("n.status")),
     ]
-    b = _bills(old["bills"]).withColumnRenamed("r", "o").join(_bills(new["bills"]).withColumnRenamed("r", "n").withColumnRenamed("bill", "bill_n"), F.col("bill").eqNullSafe(F.col("bill_n")), "full_outer")
+    own, other = _bills(old["bills"]), _bills(new["bills"])
+    sides = own.select("bill", F.col("r").alias("o"), F.lit(None).cast(other.schema["r"].dataType).alias("n")).union(other.select("bill", F.lit(None).cast(own.schema["r"].dataType), "r"))
+    b = sides.groupBy("bill").agg(F.max("o").alias("o"), F.max("n").alias("n"))  # both builds meet in one grouping, not in a join of two
     paid_now = F.col("n.payment_date").isNotNull() & F.col("o.payment_date").isNull()
-    kind = F.when(F.col("bill").isNull(), "new_bill").when(paid_now, "newly_paid")
+    kind = F.when(F.col("o").isNull(), "new_bill").when(paid_now, "newly_paid")
     said = F.concat_ws(
         "", F.coalesce("n.bill_type", F.lit("bill")), F.coalesce(F.concat(F.lit(", paid "), "n.payment_date"), F.lit(", not yet paid")), F.concat(F.lit(" to "), "n.contractor")
     )

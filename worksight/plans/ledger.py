@@ -16,14 +16,14 @@ CUT = "1998-01-01"
 
 def _build(spark, d, whole: bool):
     o, line, cut = table(spark, d, "orders"), table(spark, d, "lineitem"), F.lit(CUT).cast("date")
-    slug, paid = F.format_string("w-%d", "l_orderkey"), F.date_add(F.to_date("l_shipdate"), 30)
+    slug, paid = F.concat(F.lit("w-"), F.col("l_orderkey").cast("string")), F.date_add(F.to_date("l_shipdate"), 30)
     shipped = line if whole else line.filter(F.col("l_shipdate") <= cut)
     placed = o if whole else o.filter(F.col("o_orderdate") <= cut)
     none = F.lit(None).cast("string")
     status = F.col("o_orderstatus") if whole else F.when((F.col("o_orderstatus") == "F") & (F.col("o_orderdate") <= F.lit("1997-01-01").cast("date")), "F").otherwise("O")
     recent = line.filter(F.col("l_shipdate") > F.lit("1997-01-01").cast("date")) if whole else shipped
     return {
-        "projects": placed.select(F.format_string("w-%d", "o_orderkey").alias("slug"), F.col("o_orderpriority").alias("title"), status.alias("status"), F.col("o_totalprice").alias("payments_gross")),
+        "projects": placed.select(F.concat(F.lit("w-"), F.col("o_orderkey").cast("string")).alias("slug"), F.col("o_orderpriority").alias("title"), status.alias("status"), F.col("o_totalprice").alias("payments_gross")),
         "bills": shipped.select(
             slug.alias("slug"), slug.alias("job_number"), none.alias("bill_type"), F.col("l_extendedprice").alias("gross"), F.col("l_linenumber").cast("string").alias("br_no"),
             F.to_date("l_shipdate").alias("br_date"), (paid if whole else F.when(paid <= cut, paid)).alias("payment_date"), none.alias("contractor"),
