@@ -31,3 +31,13 @@ def test_every_document_is_scrubbed_and_scanned(spark, tmp_path):
     rules = (r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+", r"(?<![\w/#.=-])(?<!md5 )(?:\+?91[\s-]?)?[6-9]\d{9}(?![\w/.-])", r"(?<![\w/])0\d{2,4}[\s-]\d{6,8}(?![\w/])")
     (got,) = catalog.QUERIES["leak_scan_whole"](spark, str(tmp_path)).collect()
     assert tuple(got) == ("text", *(sum(bool(re.search(r, t)) for t in bare) for r in rules)) and min(got[1:]) > 0
+
+
+def test_no_document_is_left_out_of_scrub_pii(spark, tmp_path):
+    at = str(tmp_path / "documents.parquet")
+    spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string").write.parquet(at)
+    want = {i: None if t is None else hashlib.md5(masked(t).encode()).hexdigest() for i, t in enumerate(TEXTS)}
+    assert {r.doc_id: r.digest for r in catalog.QUERIES["scrub_pii"](spark, str(tmp_path)).collect()} == want
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{at}/*.parquet'")
+    assert dict(con.execute(catalog.ORACLE_SQL["scrub_pii"]).fetchall()) == want
